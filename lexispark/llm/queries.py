@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, quality, toxicity
 
 QUERIES = {
     "op1_ppm_langid": langid.query,
+    "op8_toxicity_boosting": toxicity.query,
+    "op9_quality_ratio": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
