@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, quality, toxicity
+from . import bitslice, langid, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op1_ppm_langid": langid.query,
+    "op2_source_mixing": mixing.query,
+    "op4_bitsliced_topk": bitslice.query,
+    "op5_warc_archive": warc.query,
     "op8_toxicity_boosting": toxicity.query,
     "op9_quality_ratio": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_bitsliced_topk": bitslice.ORACLE,
+    "op5_warc_archive": warc.ORACLE,
+}
