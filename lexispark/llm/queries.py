@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitslice, langid, mixing, quality, toxicity, warc
+from . import bitslice, langid, linededup, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op1_ppm_langid": langid.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_warc_archive": warc.query,
     "op8_toxicity_boosting": toxicity.query,
     "op9_quality_ratio": quality.query,
+    "op10_line_chunks": linededup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
