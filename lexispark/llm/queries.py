@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bitslice, langid, linededup, mixing, quality, toxicity, warc
+from . import bitslice, jaccard, langid, linededup, mixing, quality, toxicity, warc
 
 QUERIES = {
     "op1_ppm_langid": langid.query,
     "op2_source_mixing": mixing.query,
+    "op3_shingle_jaccard": jaccard.query,
     "op4_bitsliced_topk": bitslice.query,
     "op5_warc_archive": warc.query,
     "op8_toxicity_boosting": toxicity.query,
