@@ -115,12 +115,12 @@ def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-LEAST * (a + b) // (PARTS + LEAST))
 
 
-SEEN = "doc_id long, n int, k long, sig binary, token long, often long"
+SEEN = "doc_id long, mark long, n int, k long, sig binary, token long, often long"
 
 
 def _survey(batches):
     """A row for each document; a row for each shingle that a stretch of the task has often."""
-    kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k", pa.int64()), ("sig", pa.binary()), ("token", pa.int64()), ("often", pa.int64())])
+    kind = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("k", pa.int64()), ("sig", pa.binary()), ("token", pa.int64()), ("often", pa.int64())])
     met: set[int] = set()
     pool: list[np.ndarray] = []
     size = 0
@@ -130,7 +130,7 @@ def _survey(batches):
         here = often >= OFTEN_HERE
         n = int(here.sum())
         if n:
-            yield K.record(kind, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), token[here].view(np.int64), often[here])
+            yield K.record(kind, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), token[here].view(np.int64), often[here])
 
     for batch in batches:
         data, offsets = K.text_of(batch, "text")
@@ -145,7 +145,7 @@ def _survey(batches):
                     pool.append(sets.hashes[sets.at[i] : sets.at[i + 1]])
                     size += sets.n[i]
             none = pa.nulls(b - a, pa.int64())
-            yield K.record(kind, K.ids_of(batch, "doc_id").slice(a, b - a), sets.n, pa.array(keys, pa.int64(), mask=sets.n == 0), pa.array(sigs, pa.binary()), none, none)
+            yield K.record(kind, K.ids_of(batch, "doc_id").slice(a, b - a), K.ids_of(batch, "mark").slice(a, b - a), sets.n, pa.array(keys, pa.int64(), mask=sets.n == 0), pa.array(sigs, pa.binary()), none, none)
             if size > STRETCH:
                 yield from flush()
                 pool, size = [], 0
@@ -397,14 +397,14 @@ def residue(members: DataFrame, labels: DataFrame, sigs: DataFrame, cap: int) ->
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, k) of every row of ``docs`` (k null for an empty set), and (node, label) of every class with a link."""
+    """(doc_id, mark, n, k) of every row of ``docs`` (k null for an empty set), and (node, label) of every class with a link."""
     spark = docs.sparkSession
     work.short_batches(spark, 2048)
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     seen = work.staged(docs.mapInArrow(_survey, SEEN), "shingle-survey")
     often = seen.filter("token is not null").groupBy("token").agg(F.sum("often").alias("often")).filter(F.col("often") >= OFTEN).orderBy(F.desc("often"), "token").limit(FREQUENT).toPandas()  # FREQUENT rows at most
     order = spark.sparkContext.broadcast(Order(often["token"].to_numpy(np.int64).view(np.uint64), often["often"].to_numpy(np.int64)))  # a few megabytes at most
-    rows = seen.filter("token is null").select("doc_id", "n", "k")
+    rows = seen.filter("token is null").select("doc_id", "mark", "n", "k")
     sigs = work.staged(seen.filter("sig is not null").groupBy("k").agg(F.min("sig").alias("sig")), "shingle-signatures")
     tokens = docs.mapInArrow(_prefix_rows(order), "token long, k long, n int")
     tokens = tokens.repartition("token").sortWithinPartitions("token", "k")
@@ -450,18 +450,35 @@ def _own_texts(batches):
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row, and ``class_id`` naming texts with equal sets."""
+    """``doc_id, n_shingles, component_id`` of every row; ``class_id`` names texts with equal sets, ``group_id`` linked classes, ``mark`` the text."""
     rows, labels = classes(docs)
     per_class = rows.filter("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"))
     named = per_class.join(labels, F.col("k") == F.col("node"), "left").select("k", "least", F.coalesce("label", "k").alias("label"))
     named = work.staged(named, "class-labels")
     groups = work.staged(named.groupBy("label").agg(F.min("least").alias("component_id")), "component-names")
     c, g = named.alias("c"), groups.alias("g")
-    final = work.staged(c.join(g, F.col("c.label") == F.col("g.label")).select("c.k", "g.component_id"), "class-components")
+    final = work.staged(c.join(g, F.col("c.label") == F.col("g.label")).select("c.k", "c.label", "g.component_id"), "class-components")
     r, f = rows.alias("r"), final.alias("f")
     joined = r.join(f, F.col("r.k") == F.col("f.k"), "left")
-    return joined.select("r.doc_id", F.col("r.n").cast("long").alias("n_shingles"), F.when(F.col("r.k").isNull(), F.col("r.doc_id")).otherwise(F.col("f.component_id")).alias("component_id"), F.col("r.k").alias("class_id"))
+    return joined.select("r.doc_id", F.col("r.n").cast("long").alias("n_shingles"), F.when(F.col("r.k").isNull(), F.col("r.doc_id")).otherwise(F.col("f.component_id")).alias("component_id"), F.col("r.k").alias("class_id"), F.col("f.label").alias("group_id"), "r.mark")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest (doc_id, hash of the text); rows with empty sets all stay."""
+    found = work.staged(components(docs).select("doc_id", "mark", "group_id"), "near-groups")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")
+    chosen = found.filter("group_id is not null").groupBy("group_id").agg(F.min(place).alias("c")).select("c.doc_id", "c.mark", F.lit(True).alias("linked"))
+    alone = found.filter("group_id is null").select("doc_id", "mark", F.lit(False).alias("linked")).distinct()
+    keep = work.staged(chosen.unionByName(alone), "near-kept")
+    work.discard(found)
+    d, k = docs.withColumn("__mark", F.xxhash64("text")).alias("d"), keep.alias("k")
+    met = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__mark") == F.col("k.mark")))
+    # Rows that repeat doc_id and text: one of them, unless their set is empty.
+    copy = F.when(F.col("k.linked"), F.lit(0)).otherwise(F.monotonically_increasing_id())
+    met = met.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("d.__mark").alias("__mark"), copy.alias("__copy"))
+    return met.dropDuplicates(["doc_id", "__mark", "__copy"]).drop("__mark", "__copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(work.columns(work.table(spark, sf_dir, "documents"), doc_id="long", text="string"))
+    docs = work.columns(work.table(spark, sf_dir, "documents"), doc_id="long", text="string")
+    return components(docs).drop("group_id", "mark")

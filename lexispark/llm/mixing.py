@@ -231,7 +231,8 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mixture as documents: for each row and pass one row with the words taken, in order.
 
     A row taken whole keeps its exact text; one taken in part keeps the text from the first to the
-    last word of each stretch, joined by blanks.  Every other column stays as it is.
+    last word of each stretch, joined by blanks.  ``n_chars``, if there, follows the text; other
+    columns stay as they are.
     """
     streams, sources, _ = _streams(docs)
     got = segments(streams, sources).groupBy("s", "offset", "turn").agg(
@@ -242,7 +243,10 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     same = [F.col("w.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("w.source").eqNullSafe(F.col("g.source")), F.col("w.mark") == F.col("g.mark")]
     joined = whole.alias("w").join(got.alias("g"), same[0] & same[1] & same[2])
     cut = F.when(F.col("g.n") == F.col("g.size"), F.col(f"w.{text}")).otherwise(_stretches(F.col(f"w.{text}"), F.col("g.parts")))
-    return joined.select(*[cut.alias(text) if c == text else F.col(f"w.{c}").alias(c) for c in docs.columns])
+    out = joined.select(*[cut.alias(text) if c == text else F.col(f"w.`{c}`").alias(c) for c in docs.columns])
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def _stretches(text: Column, parts: Column) -> Column:
