@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitslice, jaccard, langid, linededup, mixing, packing, quality, toxicity, warc
+from . import bitslice, jaccard, langid, linededup, mixing, packing, quality, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_ppm_langid": langid.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_shingle_jaccard": jaccard.query,
     "op4_bitsliced_topk": bitslice.query,
     "op5_warc_archive": warc.query,
+    "op6_suffix_dedup": suffixes.query,
     "op7_retrieval_packing": packing.query,
     "op8_toxicity_boosting": toxicity.query,
     "op9_quality_ratio": quality.query,
