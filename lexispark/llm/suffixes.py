@@ -157,7 +157,7 @@ def _meet(batches):
 def _texts_with(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(uid, text, parts): the documents that these rows lie in, with the rows of each."""
     lists = found.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi", "anchor", "gram")).alias("parts"))  # no more than its text has anchors
-    return docs.join(lists, F.col("uid") == F.col("doc")).select("uid", "text", "parts")
+    return docs.join(lists.hint("merge"), F.col("uid") == F.col("doc")).select("uid", "text", "parts")
 
 
 def _parts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -317,17 +317,19 @@ def _wide(docs: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def _with_uid(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``uid``, a number in the order of (doc_id, hash of the text), equal for equal rows."""
+def _with_uid(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``uid``, a number in the order of (doc_id, hash of the text), equal for equal rows; and each uid once."""
     ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.filter("n > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("uid", F.col("doc_id"))
+        docs = docs.withColumn("uid", F.col("doc_id"))
+        return docs, docs
     marked = docs.withColumn("mark", F.xxhash64("text"))
     order = marked.select("doc_id", "mark").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "mark")
     order = work.staged(order.withColumn("uid", F.monotonically_increasing_id()), "suffix-ids")  # rises with the sort, over all partitions
     m, o = marked.alias("m"), order.alias("o")
     joined = m.join(o, F.col("m.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("m.mark") == F.col("o.mark")))
-    return work.staged(joined.select("m.doc_id", "m.text", "o.uid"), "suffix-docs")
+    docs = work.staged(joined.select("m.doc_id", "m.text", "o.uid"), "suffix-docs")
+    return docs, work.staged(docs.dropDuplicates(["uid"]), "suffix-once")
 
 
 def removed_windows(docs: DataFrame) -> DataFrame:
@@ -371,8 +373,8 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def dedupe(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row; with ``kept`` (the remaining bytes) if asked for."""
-    docs = _with_uid(docs.select("doc_id", "text"))
-    spans = removed_windows(docs)
+    docs, once = _with_uid(docs.select("doc_id", "text"))
+    spans = removed_windows(once)
     work.short_batches(docs.sparkSession)
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
 
@@ -390,7 +392,7 @@ def dedupe(docs: DataFrame, with_text: bool = False) -> DataFrame:
             if rows:
                 yield K.record(kind, K.ids_of(batch, "doc_id"), *[list(c) for c in zip(*rows, strict=True)])
 
-    joined = docs.join(spans, F.col("uid") == F.col("doc"), "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+    joined = docs.join(spans.hint("merge"), F.col("uid") == F.col("doc"), "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
     return joined.mapInArrow(tell, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
 
 
