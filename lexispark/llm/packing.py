@@ -8,7 +8,7 @@ next window.  What remains at the end of a shard is laid out in sequences whose
 of two, so nothing needs padding.
 
 A word's ids do not depend on its neighbours: the pre-tokenizer of the tokenizer never joins text
-across white space.  Ids are therefore looked up by word and only new words are tokenized.
+across white space.  Ids are therefore looked up by word, and only pieces of new words are tokenized.
 
 Edge cases: a null or empty text is the end id alone.  Rows that repeat a doc_id are packed as rows
 of their own.  A null doc_id stays null.  An empty table gives no pieces.  A text longer than a
@@ -17,12 +17,15 @@ shard is a large shard of its own, held by one task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +41,13 @@ BUCKETS = 1 << 18
 ASKED = 16
 K1, B = 1.2, 0.75
 #: Words kept in a worker's table of ids.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 600_000
 
 ROW = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Python splits at these control characters; the tokenizer does not take them for white space.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_CONTROL = re.compile("[\x1c-\x1f]")
+#: Beyond these characters, composition and lower-casing are left to the tokenizer's own normalizer.
+_NOT_PLAIN = re.compile("[^\x00-\u024f]|\u0130")
 
 
 def tokenizer_file() -> str:
@@ -51,6 +56,24 @@ def tokenizer_file() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _byte_alphabet() -> list[str]:
+    """The printable name of each byte in byte-level BPE: itself if it prints, else the next free code point from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+def _piece_pattern(spec: dict):
+    """The pre-tokenizer's pattern as a function, where the file has the kind of steps that ``WordIds`` can follow; else None."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers") or []]
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or normal != ["NFC", "Replace", "Lowercase"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None
+    if not steps[0]["invert"] or steps[0]["behavior"] != "Removed":
+        return None
+    return regex.compile(steps[0]["pattern"]["Regex"]).findall
+
+
 def word_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (K.Spans(K.LOWER[data]).hash(starts, ends) >> np.uint64(46)).astype(np.int64)
 
@@ -64,7 +87,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int, int]:
             data, offsets = K.text_of(batch, "text")
             for _, _, block, at in K.blocks(data, offsets):
                 starts, ends, first = K.words(block, at)
-                code = np.unique(K.row_index(first) * BUCKETS + word_buckets(block, starts, ends))
+                code = K.distinct(K.row_index(first) * BUCKETS + word_buckets(block, starts, ends))
                 sums[0] += np.bincount(code % BUCKETS, minlength=BUCKETS)
                 sums[1, :3] += (len(at) - 1, len(starts), len(block))
         yield from tallies.chunks(sums)
@@ -87,42 +110,83 @@ class _Words(dict):
 
 
 class WordIds:
-    """Token ids of words, kept by a worker from shard to shard."""
+    """Token ids of words, kept by a worker from shard to shard.
+
+    A word of plain Latin text is lower-cased (the tokenizer would do so), cut by the tokenizer's own
+    pre-tokenizer pattern, and each new piece goes to its BPE model; any other word is encoded as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.cut = _piece_pattern(spec)
+        self.byte_names = str.maketrans({b: c for b, c in enumerate(_byte_alphabet())})
         self.clear()
 
     def clear(self) -> None:
         self.words = _Words()
+        self.pieces: dict[str, list[int]] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes, self.buckets = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _keys(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if _CONTROL.search(text) or any(t in text for t in self.special):
+            return [text]  # separators or special tokens that only the tokenizer itself judges rightly
+        return (text if _NOT_PLAIN.search(text) else text.lower()).split()
+
     def places(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The words of each text as places in the table; a text with a dubious separator is one word."""
+        """The words of each text as places in the table."""
         if len(self.words) > KNOWN_WORDS:
             self.clear()
         look = self.words.__getitem__
         out = []
         for text in texts:
-            parts = ([text] if _NOT_SPACE.search(text) else text.split()) if text else ()
+            parts = self._keys(text)
             out.append(np.fromiter(map(look, parts), np.int64, len(parts)))
         self._learn()
         return out
 
+    def _piece(self, piece: str) -> list[int]:
+        named = piece.encode().decode("latin-1").translate(self.byte_names)
+        found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(named)]
+        return found
+
+    def _encoded(self, new: list[str]) -> list[list[int]]:
+        dubious = lambda w: bool(_NOT_PLAIN.search(w) or _CONTROL.search(w)) or any(t in w for t in self.special)
+        if self.cut is None:
+            plain = [False] * len(new)
+        elif dubious(" ".join(new)):
+            plain = [not dubious(w) for w in new]
+        else:
+            plain = [True] * len(new)
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(new, plain, strict=True) if not p], add_special_tokens=False))
+        known, cut, out = self.pieces, self.cut, []
+        for word, p in zip(new, plain, strict=True):
+            if p:
+                ids: list[int] = []
+                for piece in cut(word.lower()):
+                    ids += known.get(piece) or self._piece(piece)
+                out.append(ids)
+            else:
+                out.append(next(rest).ids)
+        return out
+
     def _learn(self) -> None:
         new, self.words.new = self.words.new, []
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        found = self._encoded(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.used += total

@@ -109,7 +109,7 @@ def features(block: np.ndarray, at: np.ndarray, lexicon: Members, person: Member
     if len(hit):
         far = np.searchsorted(hit, np.minimum(hit + 50, first[row[hit] + 1]))
         np.maximum.at(out[:, 3], row[hit], (far - np.arange(len(hit))).astype(float))
-    pair = np.unique(row[hit] * np.int64(len(lexicon.sorted) + 1) + kind)
+    pair = K.distinct(row[hit] * np.int64(len(lexicon.sorted) + 1) + kind)
     out[:, 4] = np.bincount((pair // (len(lexicon.sorted) + 1)).astype(np.int64), minlength=n_docs)
     # Words over letters and look-alikes, with these undone.
     mask = _LETTER[block] | _ODD[block]
