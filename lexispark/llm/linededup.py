@@ -104,13 +104,14 @@ def removals(docs: DataFrame) -> DataFrame:
     work.discard(found, repeated)
     m, p = marked.alias("m"), per_doc.alias("p")
     on = F.col("m.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("m.mark") == F.col("p.mark"))
-    parts = m.join(p, on).select("m.doc_id", "m.mark", F.col("m.text").cast("binary").alias("data"), F.explode("p.parts").alias("c"))
+    parts = m.join(p.hint("merge"), on).select(  # the lists grow with the corpus: never broadcast
+        "m.doc_id", "m.mark", F.col("m.text").cast("binary").alias("data"), F.explode("p.parts").alias("c"))
     parts = work.staged(
         parts.select("doc_id", "mark", "c.line", "c.lines", "c.k1", "c.k2", "c.original", F.expr("substring(data, cast(c.start as int) + 1, cast(c.size as int))").alias("data")), "line-bytes"
     )
     work.discard(per_doc)
     later, early = parts.filter("not original").alias("l"), parts.filter("original").select("k1", "k2", "data").alias("e")
-    equal = later.join(early, (F.col("l.k1") == F.col("e.k1")) & (F.col("l.k2") == F.col("e.k2")) & (F.col("l.data") == F.col("e.data")))
+    equal = later.join(early.hint("merge"), (F.col("l.k1") == F.col("e.k1")) & (F.col("l.k2") == F.col("e.k2")) & (F.col("l.data") == F.col("e.data")))
     gone = work.staged(equal.groupBy("l.doc_id", "l.mark").agg(F.collect_set(F.struct("l.line", "l.lines")).alias("gone")), "line-gone")
     work.discard(parts)
     return gone
@@ -128,7 +129,7 @@ def without_lines(text: str, gone: list[dict]) -> tuple[str, int]:
 def _joined(docs: DataFrame) -> DataFrame:
     d, g = docs.withColumn("__mark", F.xxhash64("text")).alias("d"), removals(docs.select("doc_id", "text")).alias("g")
     on = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.__mark") == F.col("g.mark"))
-    return d.join(g, on, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("g.gone").alias("__gone"))
+    return d.join(g.hint("merge"), on, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("g.gone").alias("__gone"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
