@@ -210,7 +210,8 @@ def segments(streams: DataFrame, sources: list[Source]) -> DataFrame:
     pieces = streams.filter("size > 0").select(
         "s", "offset", "size", F.explode(F.sequence(F.floor(F.col("offset") / b), F.floor((F.col("offset") + F.col("size") - 1) / b))).alias("block")
     )
-    met = pieces.join(draw(streams.sparkSession, sources), ["s", "block"])
+    # The slots grow with the corpus, whatever the planner takes the size of a drawn table to be: never broadcast.
+    met = pieces.join(draw(streams.sparkSession, sources).hint("merge"), ["s", "block"])
     start = F.greatest(F.col("offset"), F.col("block") * b)
     end = F.least(F.col("offset") + F.col("size"), F.col("block") * b + F.col("take"))
     return met.select("s", "offset", "turn", (start - F.col("offset")).alias("first"), (end - start).alias("words")).filter("words > 0")
@@ -222,7 +223,7 @@ def plan(docs: DataFrame) -> DataFrame:
     taken = segments(streams, sources).groupBy("s", "offset").agg(F.sum("words").alias("taken"))
     key = F.when(F.col("size") > 0, F.col("offset"))  # rows of size 0 share their place with the next one
     return (
-        streams.withColumn("key", key).join(taken.withColumnRenamed("offset", "key"), ["s", "key"], "left")
+        streams.withColumn("key", key).join(taken.withColumnRenamed("offset", "key").hint("merge"), ["s", "key"], "left")
         .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
@@ -238,10 +239,10 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     got = segments(streams, sources).groupBy("s", "offset", "turn").agg(
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("n")
     )  # parts of one row: at most its words / BLOCK_WORDS + 2
-    got = got.join(streams.filter("size > 0"), ["s", "offset"]).select("doc_id", "source", "mark", "size", "turn", "parts", "n")
+    got = got.hint("merge").join(streams.filter("size > 0"), ["s", "offset"]).select("doc_id", "source", "mark", "size", "turn", "parts", "n")
     whole = docs.withColumn("mark", F.xxhash64(text)).dropDuplicates(["doc_id", "source", "mark"])
     same = [F.col("w.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("w.source").eqNullSafe(F.col("g.source")), F.col("w.mark") == F.col("g.mark")]
-    joined = whole.alias("w").join(got.alias("g"), same[0] & same[1] & same[2])
+    joined = whole.alias("w").join(got.hint("merge").alias("g"), same[0] & same[1] & same[2])
     cut = F.when(F.col("g.n") == F.col("g.size"), F.col(f"w.{text}")).otherwise(_stretches(F.col(f"w.{text}"), F.col("g.parts")))
     out = joined.select(*[cut.alias(text) if c == text else F.col(f"w.`{c}`").alias(c) for c in docs.columns])
     if "n_chars" in docs.columns:
