@@ -12,7 +12,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of one Arrow batch: texts may be long, so batches are kept short.
 ARROW_ROWS = 1024
@@ -69,9 +68,5 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def schema(text: str) -> T.StructType:
-    return T._parse_datatype_string(text)
-
-
 def parts_for(n: float, per: float, least: int) -> int:
     return max(least, math.ceil(n / per))
