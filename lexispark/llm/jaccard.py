@@ -7,9 +7,10 @@ which keeps them out of most prefixes.
 
 1. Each class is compared with the leader of the bucket family that it shares most shingles with, so
    that a group of near copies costs one comparison a member.
-2. Buckets that still hold more than one component are cut into tiles of bounded size.  Within a tile,
-   rows are ordered by set size, only sizes within 4:3 of each other are looked at, and hashed bitmap
-   signatures bound the overlap from above: |A & B| <= |A| - bits(A without B).
+2. Buckets with one leader are taken together; those that still hold more than one component are cut
+   into tiles of bounded size.  Within a tile sets are banded by the width of their signatures, which
+   follows their size; only sizes within 4:3 of each other are looked at, and hashed bitmap signatures
+   bound the overlap from above: |A & B| <= |A| - bits(A without B).
 3. Pairs that pass are intersected exactly, on the sorted shingle arrays, and linked.
 
 Step 2 first takes a few pairs for each two components and then, once those are joined, all the
@@ -98,9 +99,9 @@ class Sets:
         return K.mix(out + self.n.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
 
     def signature(self, i: int) -> bytes:
-        """A bitmap of a power of two bits, at least as many as the set has members."""
+        """A bitmap of a power of two bits, at least four times as many as the set has members."""
         own = self.hashes[self.at[i] : self.at[i + 1]]
-        wide = max(64, 1 << (len(own) - 1).bit_length())
+        wide = max(64, 4 << (len(own) - 1).bit_length())
         bits = np.zeros(wide, bool)
         bits[(own >> np.uint64(20)).astype(np.int64) & (wide - 1)] = True
         return np.packbits(bits, bitorder="little").tobytes()
@@ -340,16 +341,19 @@ def survivors(n: np.ndarray, sigs: list[bytes], label: np.ndarray, left: np.ndar
 
 
 def _tiles(cap: int):
-    """Rows ordered by (token, i, j): puts out pairs of different labels that may be linked."""
+    """Rows ordered by (leader, i, j): puts out pairs of different labels that may be linked."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def one(rows: list[tuple]):
-        k, n, label, part, sig, *_ = zip(*rows, strict=True)
-        i, j = rows[0][5], rows[0][6]
+        k, n, label, part, sig, leaders, _, i_, j_ = zip(*rows, strict=True)
+        leader, i, j = rows[0][6], i_[0], j_[0]
         k, n, label, part = np.array(k), np.array(n, np.int64), np.array(label), np.array(part)
         if (label == label[0]).all():
             return None
         found = survivors(n, list(sig), label, np.flatnonzero(part == i), None if i == j else np.flatnonzero(part == j))
+        if len(found):  # a pair that shares several leaders is put out with the least of them only
+            sets = {r: set(leaders[r]) for r in np.unique(found[:, :2]).tolist()}
+            found = found[[min(sets[a] & sets[b]) == leader for a, b in found[:, :2].tolist()]]
         if cap and len(found):  # the likeliest few for each two labels
             two = np.sort(label[found[:, :2]], 1)
             order = np.lexsort((found[:, 1], found[:, 0], -found[:, 2], two[:, 1], two[:, 0]))
@@ -365,12 +369,12 @@ def _tiles(cap: int):
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            for token, i, j, *rest in zip(*[K.ids_of(batch, c).to_pylist() for c in ("token", "i", "j", "k", "n", "label", "part", "sig")], strict=True):
-                if (token, i, j) != key:
+            for leader, i, j, *rest in zip(*[K.ids_of(batch, c).to_pylist() for c in ("leader", "i", "j", "k", "n", "label", "part", "sig", "leaders")], strict=True):
+                if (leader, i, j) != key:
                     if len(rows) > 1 and (got := one(rows)) is not None:
                         yield got
-                    key, rows = (token, i, j), []
-                rows.append((*rest, i, j))
+                    key, rows = (leader, i, j), []
+                rows.append((*rest, leader, i, j))
         if len(rows) > 1 and (got := one(rows)) is not None:
             yield got
 
@@ -378,20 +382,23 @@ def _tiles(cap: int):
 
 
 def residue(members: DataFrame, labels: DataFrame, sigs: DataFrame, cap: int) -> DataFrame:
-    """Candidate pairs of classes that share a bucket but not yet a component."""
-    m = members.select("token", "k", "n")
-    m = m.join(labels, F.col("k") == F.col("node"), "left").select("token", "k", "n", F.coalesce("label", "k").alias("label"))
+    """Candidate pairs of classes that share a bucket but not yet a component.
+
+    Buckets with one leader are taken together: their members meet once, however many shingles they share.
+    """
+    m = members.groupBy("leader", "k").agg(F.min("n").alias("n"))
+    m = m.join(labels, F.col("k") == F.col("node"), "left").select("leader", "k", "n", F.coalesce("label", "k").alias("label"))
     m = work.staged(m, "tile-members")
-    # Buckets with the same members need one comparison only.
-    mixed = m.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("k").cast("decimal(20,0)")).alias("who")).filter("lo < hi")
-    mixed = work.staged(mixed.groupBy("who", "size").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "tile-buckets")
+    mixed = m.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    mixed = work.staged(mixed.select("leader", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "tile-families")
     x, y = m.alias("x"), mixed.alias("y")
-    rows = x.join(y, F.col("x.token") == F.col("y.token")).select("x.token", "x.k", "x.n", "x.label", "y.parts", F.pmod(F.xxhash64("x.k", F.lit(3)), F.col("y.parts")).cast("int").alias("part"))
+    rows = x.join(y, F.col("x.leader") == F.col("y.leader")).groupBy("x.k").agg(F.min("x.n").alias("n"), F.min("x.label").alias("label"), F.collect_list(F.struct("y.leader", "y.parts")).alias("own"))  # no more than a prefix is long
+    rows = rows.select("k", "n", "label", F.col("own.leader").alias("leaders"), F.explode("own").alias("f")).select("k", "n", "label", "leaders", "f.leader", "f.parts", F.pmod(F.xxhash64("k", F.lit(3)), F.col("f.parts")).cast("int").alias("part"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("token", "i", "j", "k", "n", "label", "part")
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("leader", "i", "j", "k", "n", "label", "part", "leaders")
     rows = rows.join(sigs.withColumnRenamed("k", "sig_k"), F.col("k") == F.col("sig_k")).drop("sig_k")
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    out = work.staged(dealt.mapInArrow(_tiles(cap), "a long, b long").distinct(), "tile-pairs")
+    dealt = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    out = work.staged(dealt.mapInArrow(_tiles(cap), "a long, b long"), "tile-pairs")
     work.discard(m, mixed)
     return out
 
@@ -481,4 +488,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = work.columns(work.table(spark, sf_dir, "documents"), doc_id="long", text="string")
-    return components(docs).drop("group_id", "mark")
+    return components(docs).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = r"""
+with recursive l as materialized (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as materialized (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as g from l),
+e as materialized (select doc_id, len(g) as n, unnest(g) as g from s),
+links as materialized (select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(a, b) as (select doc_id, doc_id from s union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, cast(len(any_value(s.g)) as bigint) as n_shingles, min(r.b) as component_id from s join reach r on s.doc_id = r.a group by s.doc_id
+"""
