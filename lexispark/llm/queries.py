@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_shingle_jaccard": jaccard.ORACLE,
     "op4_bitsliced_topk": bitslice.ORACLE,
     "op5_warc_archive": warc.ORACLE,
+    "op6_suffix_dedup": suffixes.ORACLE,
 }

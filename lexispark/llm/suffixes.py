@@ -398,3 +398,22 @@ def dedupe(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(work.columns(work.table(spark, sf_dir, "documents"), doc_id="long", text="string"))
+
+
+#: Every window as hex text, ranked among equal ones; runs of removed bytes are islands of starts at most LENGTH apart.
+ORACLE = """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
+w as materialized (select doc_id, s, md5(substr(h, 2 * s + 1, 200)) as k from d, lateral (select unnest(range(0, n - 99)) as s)),
+f as (select k, min((doc_id, s)) as first from w group by k having count(*) > 1),
+g as (select w.doc_id, w.s from w join f on w.k = f.k where (w.doc_id, w.s) <> f.first),
+i as (select doc_id, s, sum(case when p is null or s > p + 100 then 1 else 0 end) over (partition by doc_id order by s) as r
+      from (select doc_id, s, lag(s) over (partition by doc_id order by s) as p from g)),
+r as (select doc_id, r, min(s) as a, max(s) + 100 as b from i group by doc_id, r),
+q as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as p from r),
+t as (select d.doc_id, any_value(d.h) as h, count(q.a) as spans, coalesce(sum(q.b - q.a), 0) as gone, max(q.b) as stop,
+             string_agg(substr(d.h, 2 * q.p + 1, 2 * (q.a - q.p)), '' order by q.a) as head
+      from d left join q on d.doc_id = q.doc_id group by d.doc_id)
+select t.doc_id, d.n as n_bytes, cast(gone as bigint) as n_removed, spans as n_spans,
+       sha256(unhex(coalesce(head, '') || substr(t.h, 2 * coalesce(stop, 0) + 1))) as kept_sha256
+from t join d on t.doc_id = d.doc_id
+"""
