@@ -1,17 +1,21 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of two neighbouring lines decides whether a chunk ends there, so a
-passage that moves up or down in a document is cut at the same places.  Chunks of at least two
-worded lines that occur more than once in the corpus keep their first occurrence, by (doc_id, line);
-every other occurrence is compared byte by byte with it and removed if equal.
+A chunk is the shortest stretch of lines from a worded line on, or back from one, that has at least
+``LEAST_LINES`` worded lines and ``LEAST_WORDS`` words.  Its ends depend on its own bytes alone, so a
+passage that moves up or down, or into another document, is cut at the same places, and chunks overlap,
+so a passage loses nothing at its ends: every stretch of that many worded lines and words that an
+earlier place of the corpus holds is made up of repeated chunks.  Chunks that occur more than once in
+the corpus keep their first occurrence, by (doc_id, line); every other occurrence is compared byte by
+byte with it and removed if equal.  The earliest occurrence of a line is in no such chunk, so it stays.
 
 Keys are summed before they are shuffled.  Only repeated chunks carry their bytes, and these meet
 in a sort-merge join of two tables, whose skewed keys adaptive execution splits.
 
 Edge cases: lines end at ``\\n``; a null or empty text has no lines and stays as it is.  A null
 doc_id sorts before all others.  Rows that repeat doc_id and text are one occurrence, so they keep
-or lose the same lines.  Chunks of one line, or of fewer than ``LEAST_WORDS`` words, always stay.  A
-text all of whose lines go becomes empty; the row remains.  Clashing extra columns pass through.
+or lose the same lines.  Repeats of one line, or of fewer than ``LEAST_WORDS`` words, always stay, and
+so do lines without words at the ends of a repeat.  A text all of whose lines go becomes empty; the row
+remains.  Clashing extra columns pass through.
 """
 
 from __future__ import annotations
@@ -26,9 +30,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from . import work
 
-#: A chunk ends after one pair of lines in DIVISOR, and after MOST_LINES in any case.
-DIVISOR = 2
-MOST_LINES = 16
+#: Worded lines and words that a chunk has at least.
 LEAST_LINES = 2
 LEAST_WORDS = 8
 
@@ -46,33 +48,28 @@ def line_bounds(block: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, first
 
 
-def chunk_starts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether a chunk begins at each line."""
-    n = len(hashes)
-    begins = np.zeros(n + 1, bool)
-    if n > 1:
-        pair = K.mix(hashes[1:] * np.uint64(3) + hashes[:-1])
-        opens = np.zeros(n, bool)
-        opens[first[:-1]] = True
-        cut = (pair % np.uint64(DIVISOR) == 0) & ~opens[1:]  # the pair lies within one text
-        begins[2:] = cut
-    begins[first[:-1]] = True
-    begins = begins[:n]
-    place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    return begins | (place % MOST_LINES == 0)
+def chunk_bounds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks begin and end, given the words of each worded line and where each row's worded lines begin."""
+    n = len(words)
+    at, row = np.arange(n), K.row_index(first)
+    sums = np.concatenate([[0], np.cumsum(words)])
+    stop = np.maximum(at + LEAST_LINES, np.searchsorted(sums, sums[:-1] + LEAST_WORDS))
+    begin = np.minimum(at + 1 - LEAST_LINES, np.searchsorted(sums, sums[1:] - LEAST_WORDS, "right") - 1)
+    ahead, back = stop <= first[row + 1], begin >= first[row]
+    code = K.distinct(np.concatenate([at[ahead] * (n + 1) + stop[ahead], begin[back] * (n + 1) + at[back] + 1]))
+    return code // (n + 1), code % (n + 1)
 
 
 def chunks(block: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """The chunks that may be removed: row, line, lines, byte range and a 128-bit key of their bytes."""
     starts, ends, first = line_bounds(block, at)
     one, two = K.Spans(block, 0), K.Spans(block, 1)
-    begins = np.flatnonzero(chunk_starts(one.hash(starts, ends), first))
-    stops = np.append(begins[1:], len(starts))
     words, _, _ = K.words(block, at)
-    worded = np.concatenate([[0], np.cumsum(np.searchsorted(words, ends) > np.searchsorted(words, starts))])
+    words = np.searchsorted(words, ends) - np.searchsorted(words, starts)
+    worded = np.flatnonzero(words)
+    begins, stops = chunk_bounds(words[worded], np.searchsorted(worded, first))
+    begins, stops = worded[begins], worded[stops - 1] + 1
     lo, hi = starts[begins], ends[stops - 1]
-    use = (worded[stops] - worded[begins] >= LEAST_LINES) & (np.searchsorted(words, hi) - np.searchsorted(words, lo) >= LEAST_WORDS)
-    begins, stops, lo, hi = begins[use], stops[use], lo[use], hi[use]
     row = np.searchsorted(first, begins, "right") - 1
     return {"row": row, "line": begins - first[row], "lines": stops - begins, "start": lo - at[row], "size": hi - lo, "k1": one.hash(lo, hi).view(np.int64), "k2": two.hash(lo, hi).view(np.int64)}
 
@@ -104,11 +101,9 @@ def removals(docs: DataFrame) -> DataFrame:
     work.discard(found, repeated)
     m, p = marked.alias("m"), per_doc.alias("p")
     on = F.col("m.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("m.mark") == F.col("p.mark"))
-    parts = m.join(p.hint("merge"), on).select(  # the lists grow with the corpus: never broadcast
-        "m.doc_id", "m.mark", F.col("m.text").cast("binary").alias("data"), F.explode("p.parts").alias("c"))
-    parts = work.staged(
-        parts.select("doc_id", "mark", "c.line", "c.lines", "c.k1", "c.k2", "c.original", F.expr("substring(data, cast(c.start as int) + 1, cast(c.size as int))").alias("data")), "line-bytes"
-    )
+    bytes_of = "transform(p.parts, c -> named_struct('line', c.line, 'lines', c.lines, 'k1', c.k1, 'k2', c.k2, 'original', c.original, 'data', substring(cast(m.text as binary), cast(c.start as int) + 1, cast(c.size as int))))"
+    parts = m.join(p.hint("merge"), on).select("m.doc_id", "m.mark", F.explode(F.expr(bytes_of)).alias("c"))  # the lists grow with the corpus: never broadcast
+    parts = work.staged(parts.select("doc_id", "mark", "c.*"), "line-bytes")
     work.discard(per_doc)
     later, early = parts.filter("not original").alias("l"), parts.filter("original").select("k1", "k2", "data").alias("e")
     equal = later.join(early.hint("merge"), (F.col("l.k1") == F.col("e.k1")) & (F.col("l.k2") == F.col("e.k2")) & (F.col("l.data") == F.col("e.data")))

@@ -375,6 +375,27 @@ def test_line_dedup(docs, empty):
     assert linededup.report(empty).count() == 0
 
 
+def test_line_dedup_of_planted_passages(spark):
+    rng = random.Random(3)
+    line = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(rng.randrange(4, 12)))
+    passages = [[line() for _ in range(n)] for n in (2, 3, 4, 7, 20) for _ in range(8)]
+    rows, want = [], {}
+    for i, p in enumerate(passages):
+        rows.append((i, "\n".join([line(), *p, line()])))
+        want[i] = rows[-1][1]
+    for i, p in enumerate(passages):  # the passage elsewhere, and a copy of the whole text
+        own = [line() for _ in range(1 + i % 3)]
+        rows += [(100 + i, "\n".join([*own, *p, line()])), (300 + i, rows[i][1])]
+        want |= {100 + i: "\n".join([*own, rows[-2][1].split("\n")[-1]]), 300 + i: ""}
+    spaced = [line(), "", line(), "", line()]
+    rows += [(500, "\n".join(spaced)), (501, "\n".join(["new here", *spaced, "and here"]))]
+    want |= {500: rows[-2][1], 501: "new here\nand here"}
+    rows += [(502, "x\ny\n" + line()), (503, "x\ny\n" + line()), (504, "short\nlist " * 2), (505, passages[0][0])]  # too few words or lines to be a chunk
+    want |= {i: t for i, t in rows[-4:]}
+    left = linededup.dedupe(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["text"] for r in left.collect()} == want
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     where = str(tmp_path)
     docs.withColumn("extra", F.lit(1)).write.parquet(f"{where}/documents.parquet")
