@@ -36,9 +36,8 @@ WINDOW = 2048
 END_ID = 1
 #: Text bytes of one shard.
 SHARD_BYTES = 4_000_000
-#: Buckets of the table of document frequencies, and the words of a seed that are asked for.
+#: Buckets of the table of document frequencies.
 BUCKETS = 1 << 18
-ASKED = 16
 K1, B = 1.2, 0.75
 #: Words kept in a worker's table of ids.
 KNOWN_WORDS = 600_000
@@ -201,39 +200,41 @@ class WordIds:
 
 
 class Index:
-    """Inverted index of a shard: for each word that two documents share, its documents and BM25 weights."""
+    """Inverted index of a shard: for each word that two documents share, its distinct texts and BM25 weights.
+
+    Documents of the same words are one entry, so copies make no list longer.
+    """
 
     def __init__(self, words: list[np.ndarray], idf: np.ndarray, mean: float):
-        n = len(words)
-        sizes = np.array([len(w) for w in words])
-        flat = np.concatenate(words) if n else np.zeros(0, np.int64)
+        entries: dict[bytes, int] = {}
+        self.of = np.array([entries.setdefault(w.astype(np.int64).tobytes(), len(entries)) for w in words], np.int64)
+        texts = [np.frombuffer(w, np.int64) for w in entries]
+        self.n = n = len(texts)
+        sizes = np.array([len(w) for w in texts])
+        flat = np.concatenate(texts) if n else np.zeros(0, np.int64)
         wide = int(flat.max(initial=0)) + 1
         pair, tf = np.unique(np.repeat(np.arange(n), sizes) * wide + flat, return_counts=True)
         doc, term = pair // wide, pair % wide
-        here = np.bincount(term, minlength=wide)
-        keep = (here[term] > 1) & (here[term] <= max(2, n // 8))
+        # A word of one text links nothing but its copies.
+        keep = (np.bincount(term, minlength=wide)[term] > 1) | (np.bincount(self.of, minlength=n)[doc] > 1)
         doc, term, tf = doc[keep], term[keep], tf[keep]
-        self.n = n
         value = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1.0)))
         order = np.argsort(term, kind="stable")
         self.doc, self.value = doc[order], value[order]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=wide))])
-        # The words asked for on behalf of each document: its heaviest ones.
-        heavy = np.lexsort((term, -value, doc))
-        place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        heavy = heavy[place < ASKED]
-        self.asked, self.asked_at = term[heavy], np.searchsorted(doc[heavy], np.arange(n + 1))
+        self.asked, self.asked_at = term, np.searchsorted(doc, np.arange(n + 1))  # all words of each text
 
     def neighbours(self, seed: int) -> np.ndarray:
         """Documents that share words with ``seed``, best first."""
-        terms = self.asked[self.asked_at[seed] : self.asked_at[seed + 1]]
+        entry = self.of[seed]
+        terms = self.asked[self.asked_at[entry] : self.asked_at[entry + 1]]
         if not len(terms):
             return terms
         spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.value[s] for s in spans]), self.n)
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.value[s] for s in spans]), self.n)[self.of]
         score[seed] = 0
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def fill(sizes: np.ndarray, neighbours, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -266,6 +267,7 @@ def fill(sizes: np.ndarray, neighbours, window: int = WINDOW) -> list[tuple[int,
                 break
             if best is None:
                 best = neighbours(seed)
+                best = best[left[best] > 0]
             while at < len(best) and not left[best[at]]:
                 at += 1
             if at < len(best):

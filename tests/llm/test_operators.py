@@ -310,6 +310,25 @@ def test_packing_puts_neighbours_together():
     assert index.neighbours(0).tolist() == [2] and index.neighbours(1).tolist() == [3] and index.neighbours(5).tolist() == []
 
 
+def test_packing_asks_for_every_word():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    group = np.arange(40)
+    words = [group] * 20 + [np.append(group[:30], 50 + i) for i in range(10)]  # copies and near copies: every word is in most documents
+    words += [np.array([100 + i, 101 + i, *rng.choice(np.arange(200, 260), 30, replace=False)]) for i in range(8)]
+    idf, mean = rng.uniform(0.1, 2, 400), 20.0
+
+    def score(q, d):
+        return sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(q.tolist()) if (n := d.tolist().count(t)))
+
+    index = packing.Index(words, idf, mean)
+    for seed, q in enumerate(words):
+        want = {i: score(q, d) for i, d in enumerate(words) if i != seed and set(q.tolist()) & set(d.tolist())}
+        got = index.neighbours(seed).tolist()
+        assert set(got) == set(want) and all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+
+
 def test_toxicity(docs, labels, empty):
     model = toxicity.learn(docs, labels)
     out = toxicity.score(docs.withColumn("score", F.lit(5)), model).collect()
