@@ -1,8 +1,13 @@
 """Lexical retrieval packing.
 
-Documents are dealt to shards of bounded size by a hash.  Each shard tokenizes its texts, builds an
-inverted index over their words with BM25 weights (document frequencies are counted over the whole
-corpus, in a hashed table of fixed size), and fills windows: a seed document is followed by its best
+Documents are dealt to shards of bounded size by their own words, so that neighbours meet at any size
+of the corpus: each word draws a lot (a hash, the same in every document) over its BM25 weight, and the
+words with the least and second least draw name the shard, so two documents share a name as often as
+they share weight.  Only where more text has one name than a shard takes, copies say, a hash of the row
+decides.  Each shard tokenizes its texts, builds an inverted index over all their words with BM25
+weights (document frequencies are counted over the whole corpus, in a hashed table of fixed size), and
+fills windows.  A seed asks the index of its own shard, no other: a
+neighbour that shares little weight with it may lie elsewhere (figures in README).  A seed document is followed by its best
 unused neighbours until the window is full.  The last one is cut, and what is left of it seeds the
 next window.  What remains at the end of a shard is laid out in sequences whose lengths are powers
 of two, so nothing needs padding.
@@ -95,6 +100,96 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int, int]:
     return df, *(int(x) for x in totals[:3])
 
 
+def names(data: np.ndarray, offsets: np.ndarray, df: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """The two words (buckets) that name each row, by least draw over weight; BUCKETS where no other document has a word of it."""
+    out = np.full((len(offsets) - 1, 2), BUCKETS, np.int64)
+    for a, _, block, at in K.blocks(data, offsets):
+        starts, ends, first = K.words(block, at)
+        code, tf = np.unique(K.row_index(first) * BUCKETS + word_buckets(block, starts, ends), return_counts=True)
+        shared = df[code % BUCKETS] > 1
+        row, term, tf = code[shared] // BUCKETS, code[shared] % BUCKETS, tf[shared]
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.diff(first)[row] / max(mean, 1.0)))
+        lot = -np.log(((K.mix(term.astype(np.uint64) + np.uint64(77)) >> np.uint64(11)).astype(float) + 0.5) / 2**53)
+        if not len(row):
+            continue
+        draw, fresh = lot / weight, np.flatnonzero(np.diff(row, prepend=-1))
+        here, counts = row[fresh], np.diff(fresh, append=len(row))
+        for i in range(2):  # the least of each row, then the next; the lower bucket of a tie
+            least = np.minimum.reduceat(draw, fresh)
+            hits = np.flatnonzero(draw == np.repeat(least, counts))
+            hits = hits[np.diff(row[hits], prepend=-1) > 0]
+            out[a + here[least < np.inf], i] = term[hits[least < np.inf]]
+            draw[hits] = np.inf
+    return out
+
+
+class Dealer:
+    """Shards by name: light names share one, a heavy name has several by second name, and what is still too heavy goes by a hash of the row."""
+
+    def __init__(self, first: dict[int, int], limit: int):
+        sizes = np.zeros(BUCKETS + 1, np.int64)
+        sizes[list(first)] = list(first.values())
+        heavy = sizes > limit
+        self.parts = np.where(heavy, -(-2 * sizes // limit), 1)
+        light = np.cumsum(np.where(heavy, 0, sizes)) // limit
+        self.base = np.where(heavy, light[-1] + 1 + np.cumsum(np.where(heavy, self.parts, 0)) - self.parts, light)
+        self.count = int(light[-1] + 1 + self.parts[heavy].sum())
+        self.limit = limit
+        self.spread = np.ones(self.count, np.int64)
+
+    def cells(self, names_: np.ndarray) -> np.ndarray:
+        one, two = names_[:, 0], names_[:, 1]
+        return self.base[one] + (K.mix(two.astype(np.uint64)) % self.parts[one].astype(np.uint64)).astype(np.int64)
+
+    def even(self, cells: dict[int, int]) -> None:
+        """Take in the sizes of the cells: one over half again the limit is spread over several shards."""
+        for cell, size in cells.items():
+            if 2 * size > 3 * self.limit:
+                self.spread[cell] = -(-size // self.limit)
+        self.extra = np.concatenate([[0], np.cumsum(self.spread - 1)]) + self.count
+
+    def shards(self, names_: np.ndarray, dice: np.ndarray) -> np.ndarray:
+        cell = self.cells(names_)
+        part = (K.mix(dice.astype(np.uint64)) % self.spread[cell].astype(np.uint64)).astype(np.int64)
+        return np.where(part == 0, cell, self.extra[cell] + part - 1)
+
+
+def deal(docs: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float) -> DataFrame:
+    """``docs`` (doc_id, text) with a ``mark`` of the text and the ``shard`` of each row."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((df, idf))  # BUCKETS numbers each
+
+    def name(batches):
+        kind = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("size", pa.int64())])
+        for batch in batches:
+            data, offsets = K.text_of(batch, "text")
+            found = names(data, offsets, *shared.value, mean)
+            yield K.record(kind, found[:, 0], found[:, 1], np.diff(offsets) + 8)
+
+    named = work.staged(docs.select("text").mapInArrow(name, "one long, two long, size long"), "packing-names")
+    dealer = Dealer({r["one"]: r["size"] for r in named.groupBy("one").agg(F.sum("size").alias("size")).collect()}, SHARD_BYTES)  # BUCKETS + 1 rows at most
+
+    def place(batches):
+        kind = pa.schema([("cell", pa.int64()), ("size", pa.int64())])
+        for batch in batches:
+            yield K.record(kind, dealer.cells(np.stack([batch.column(i).to_numpy() for i in (0, 1)], 1)), batch.column(2))
+
+    sizes = named.mapInArrow(place, "cell long, size long").groupBy("cell").agg(F.sum("size").alias("size")).filter(F.col("size") * 2 > 3 * dealer.limit)
+    dealer.even({r["cell"]: r["size"] for r in sizes.collect()})  # one row for each shard and a half of text at most
+    work.discard(named)
+    told = spark.sparkContext.broadcast(dealer)
+
+    def give(batches):
+        kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("mark", pa.int64()), ("shard", pa.int64())])
+        for batch in batches:
+            data, offsets = K.text_of(batch, "text")
+            shard = told.value.shards(names(data, offsets, *shared.value, mean), K.ids_of(batch, "dice").to_numpy())
+            yield K.record(kind, K.ids_of(batch, "doc_id"), K.ids_of(batch, "text").cast(pa.string()), K.ids_of(batch, "mark"), shard)
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", F.col("text"), F.lit(7)).alias("dice"))
+    return rows.mapInArrow(give, "doc_id long, text string, mark long, shard long")
+
+
 class _Words(dict):
     """Places of words in order of first sight."""
 
@@ -302,13 +397,12 @@ _tables: dict[str, WordIds] = {}
 def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """The pieces of all rows of ``docs`` (doc_id, text), with their ids as a list if asked for."""
     work.short_batches(docs.sparkSession)
-    df, n_docs, n_words, n_bytes = frequencies(docs)
-    shards = work.parts_for(n_bytes + 8 * n_docs, SHARD_BYTES, 1)
+    df, n_docs, n_words, _ = frequencies(docs)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # BUCKETS numbers
     mean = n_words / max(n_docs, 1)
-    names = [("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]]
-    kind = pa.schema(names + [("ids", pa.list_(pa.int32()))] * with_ids)
+    columns_ = [("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]]
+    kind = pa.schema(columns_ + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def one(key, table):
         table = table.sort_by([("doc_id", "ascending"), ("mark", "ascending")])
@@ -326,8 +420,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, window:
             columns.append(pa.array([ids[d][s : s + n].astype(np.int32) for d, s, n in zip(doc, start, length, strict=True)], pa.list_(pa.int32())))
         return pa.Table.from_batches([K.record(kind, *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns])])
 
-    dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.pmod(F.xxhash64("doc_id", F.col("text"), F.lit(7)), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInArrow(one, ROW + ", ids array<int>" * with_ids)
+    return deal(docs, df, idf, mean).groupBy("shard").applyInArrow(one, ROW + ", ids array<int>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,30 @@ def test_packing_puts_neighbours_together():
     assert index.neighbours(0).tolist() == [2] and index.neighbours(1).tolist() == [3] and index.neighbours(5).tolist() == []
 
 
+def test_packing_deals_near_copies_to_one_shard(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(80)] for _ in range(200)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    for i, w in enumerate(texts):  # a near copy of each
+        w[rng.randrange(80)] = "edited"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(5000 + i, "the very same text " * 20) for i in range(300)] + [(7000 + i, None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(packing, "SHARD_BYTES", 10_000)
+    out = packing.pack(docs).collect()
+    shard = defaultdict(set)
+    for r in out:
+        shard[r["doc_id"]].add(r["sequence_id"] >> 32)
+    assert set(shard) == {r[0] for r in rows} and all(len(x) == 1 for x in shard.values())
+    assert sum(shard[i] == shard[1000 + i] for i in range(200)) > 170
+    size = Counter()
+    for i, t in rows:
+        size[min(shard[i])] += len(t or "") + 8
+    assert len(size) > 15 and max(size.values()) < 20_000  # one shard does not take all copies
+    again = packing.pack(docs.repartition(5)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, out))
+
+
 def test_packing_asks_for_every_word():
     import numpy as np
 
