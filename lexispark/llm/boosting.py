@@ -1,4 +1,4 @@
-"""Gradient-boosted regression trees for a 0/1 label over a small dense matrix, and isotonic calibration."""
+"""Gradient-boosted regression trees for a 0/1 label over a small dense matrix, and isotonic calibration; rows may have weights."""
 
 from __future__ import annotations
 
@@ -11,11 +11,12 @@ class Trees:
     def __init__(self, rounds: int = 80, depth: int = 4, rate: float = 0.15, bins: int = 48, least: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "Trees":
+        weight = np.ones(len(y)) if weight is None else weight
         quantiles = np.linspace(0, 1, self.bins + 1)[1:-1]
         self.cuts = [np.unique(np.quantile(x[:, j], quantiles)) for j in range(x.shape[1])]
         binned = self._bin(x)
-        share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+        share = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
         self.start = float(np.log(share / (1 - share)))
         self.feature = np.zeros((self.rounds, 2**self.depth - 1), np.int64)
         self.cut = np.full((self.rounds, 2**self.depth - 1), self.bins, np.int64)  # beyond all bins: everything goes left
@@ -23,7 +24,7 @@ class Trees:
         raw = np.full(len(y), self.start)
         for t in range(self.rounds):
             p = 1 / (1 + np.exp(-raw))
-            g, h = y - p, p * (1 - p)
+            g, h = weight * (y - p), weight * p * (1 - p)
             node = np.zeros(len(y), np.int64)
             for level in range(self.depth):
                 self._split(t, level, binned, node, g, h)
@@ -69,20 +70,21 @@ class Trees:
 class Isotonic:
     """Least-squares non-decreasing fit (pool adjacent violators), read with straight lines between its blocks."""
 
-    def fit(self, raw: np.ndarray, y: np.ndarray) -> "Isotonic":
+    def fit(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "Isotonic":
+        weight = np.ones(len(y)) if weight is None else weight
         order = np.argsort(raw, kind="stable")
         blocks: list[list[float]] = []  # mean, weight, sum of raw values
-        for value, label in zip(raw[order], y[order], strict=True):
-            blocks.append([float(label), 1.0, float(value)])
+        for value, label, w in zip(raw[order], y[order], weight[order], strict=True):
+            blocks.append([float(label), float(w), float(w * value)])
             while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-                mean, weight, total = blocks.pop()
+                mean, more, total = blocks.pop()
                 last = blocks[-1]
-                last[0] = (last[0] * last[1] + mean * weight) / (last[1] + weight)
-                last[1] += weight
+                last[0] = (last[0] * last[1] + mean * more) / (last[1] + more)
+                last[1] += more
                 last[2] += total
-        self.x = np.array([total / weight for _, weight, total in blocks])
+        self.x = np.array([total / w for _, w, total in blocks])
         # One row of either label in each block keeps the ends off 0 and 1.
-        self.y = np.array([(mean * weight + 0.5) / (weight + 1) if weight < 4 else mean for mean, weight, _ in blocks])
+        self.y = np.array([(mean * w + 0.5) / (w + 1) if w < 4 else mean for mean, w, _ in blocks])
         self.y = np.maximum.accumulate(self.y)
         return self
 

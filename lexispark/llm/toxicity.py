@@ -4,7 +4,8 @@ The features are rates over a whole text: density of a lexicon (learned as words
 frequency differs most between the labels), the same after undoing look-alike characters, how near
 its hits stand to second-person words, capitals, punctuation, symbols, digits and obfuscated words.
 Lexicon, trees and calibration are fitted on a bounded sample of labelled rows outside the held-out
-part; every document is then scored in one pass without a shuffle.
+part; every document is then scored in one pass without a shuffle.  A sampled row weighs as many rows as
+it stands for, so that a score is a rate of the whole table whatever its size.
 
 Edge cases: a null text counts as empty; an empty text gets the score of its (zero) features.
 Without usable labels, or with one label only, every score is 0.  Labels that contradict each other
@@ -169,14 +170,17 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) of at most ``rows`` documents of each label, none of them held out."""
+    """(doc_id, text, toxic, weight) of at most ``rows`` documents of each label, none of them held out."""
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(parts=5, part=0))
     one = one.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") >= 1, 1).otherwise(0)).alias("toxic"))
     dice = F.xxhash64("doc_id", F.lit(17))
     ids = one.filter("toxic = 1").orderBy(dice).limit(rows).union(one.filter("toxic = 0").orderBy(dice).limit(rows))
-    ids = work.staged(ids, "toxic-ids")  # 2 * SAMPLE ids at most: a proven bound for the broadcast
+    ids = staged = work.staged(ids, "toxic-ids")  # 2 * SAMPLE ids at most: a proven bound for the broadcast
+    # Each row stands for the rows of its label that the bound left out.
+    per = {r["toxic"]: max(1.0, r["count"] / rows) for r in one.groupBy("toxic").count().collect()}
+    ids = ids.withColumn("weight", F.when(F.col("toxic") == 1, per.get(1, 1.0)).otherwise(per.get(0, 1.0)))
     sample = work.staged(docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
-    work.discard(ids)
+    work.discard(staged)
     return sample
 
 
@@ -218,25 +222,27 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     many = len(FEATURES)
 
     def measure(batches):
-        kind = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("x", pa.list_(pa.float64()))])
+        kind = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("weight", pa.float64()), ("x", pa.list_(pa.float64()))])
         for batch in batches:
             data, offsets = K.text_of(batch, "text")
             x = [features(block, at, lexicon, person) for _, _, block, at in K.blocks(data, offsets)]
             if x:
                 x = np.concatenate(x)
-                yield K.record(kind, K.ids_of(batch, "doc_id"), K.ids_of(batch, "toxic"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, many), pa.int32()), pa.array(x.ravel())))
+                yield K.record(kind, K.ids_of(batch, "doc_id"), K.ids_of(batch, "toxic"), K.ids_of(batch, "weight"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, many), pa.int32()), pa.array(x.ravel())))
 
-    table = sample.select("doc_id", "toxic", "text").repartition(work.shuffle_width(spark)).mapInArrow(measure, "doc_id long, toxic int, x array<double>").orderBy("doc_id").toPandas()  # the bounded sample's features
+    table = sample.select("doc_id", "toxic", "weight", "text").repartition(work.shuffle_width(spark)).mapInArrow(measure, "doc_id long, toxic int, weight double, x array<double>").orderBy("doc_id").toPandas()  # the bounded sample's features
     work.discard(sample)
     x, y = np.array(table["x"].tolist(), float).reshape(-1, many), table["toxic"].to_numpy(float)
+    weight = table["weight"].to_numpy(float)
+    weight = weight * (len(weight) / weight.sum())  # 1 in the mean, as the trees and the curve count rows
     # Cross-fitting: each third is scored by trees that never saw it; the curve is fitted on these scores.
     fold = K.mix(table["doc_id"].to_numpy(np.int64).astype(np.uint64)) % np.uint64(3)
     raw = np.zeros(len(y))
     for f in range(3):
         here = fold == np.uint64(f)
         if here.any() and 0 < y[~here].mean() < 1:
-            raw[here] = Trees().fit(x[~here], y[~here]).raw(x[here])
-    return Model(lexicon, person, Trees().fit(x, y), Isotonic().fit(raw, y))
+            raw[here] = Trees().fit(x[~here], y[~here], weight[~here]).raw(x[here])
+    return Model(lexicon, person, Trees().fit(x, y, weight), Isotonic().fit(raw, y, weight))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -384,6 +384,14 @@ def test_quality(docs, labels, empty):
     assert quality.judge(empty, plain).count() == 0 and quality.learn(empty, labels).threshold == -float("inf")
 
 
+def test_toxicity_scores_are_rates_beyond_the_sample_bound(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(30))) for i in range(1500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1500)], "doc_id long, toxic int")  # one in ten, whatever the text
+    mean = toxicity.score(docs, toxicity.learn(docs, labels, rows=80)).agg(F.avg("score")).first()[0]
+    assert 0.03 < mean < 0.25
+
+
 def brute_lines(rows):
     import numpy as np
 
