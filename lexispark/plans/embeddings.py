@@ -93,7 +93,7 @@ QUERIES = {
     "norm_stats": lambda s, d: _vectors(s, d).select(S.norm(F.col("vec")).alias("n")).agg(F.round(F.avg("n"), 6).alias("mean_norm"), F.round(F.min("n"), 6).alias("min_norm"), F.round(F.max("n"), 6).alias("max_norm")),
     "normalize_vectors": lambda s, d: S.normalized(_vectors(s, d)).select("idx", F.round(F.col("vec")[0], 6).alias("first"), F.round(S.norm(F.col("vec")), 6).alias("norm")),
     "project_pca": lambda s, d: S.project_2d(_vectors(s, d)),
-    "project_tsne": lambda s, d: S.project_2d(_vectors(s, d).orderBy("idx").limit(100), "tsne"),
+    "project_tsne": lambda s, d: S.project_2d(_vectors(s, d), "tsne"),
     "sgns_counts": lambda s, d: G.id_counts(_coded(s, d)),
     "sgns_keep_prob": lambda s, d: _rounded(G.keep_probabilities(G.id_counts(_coded(s, d))), "p_keep"),
     "sgns_neg_table": lambda s, d: G.negative_table(G.id_counts(_coded(s, d))),
