@@ -65,6 +65,27 @@ def test_train_translate_and_checkpoint(spark, tmp_path):
     assert facts["epoch"] == 3 and np.allclose(again.params["decoder.out.bias"].value, model.params["decoder.out.bias"].value)
 
 
+def test_translate_query_reads_whole_turns(spark, tmp_path, monkeypatch):
+    from lexispark.plans import registry
+
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)]
+    spark.createDataFrame([(1, "en", "\n".join([" ".join(words)] * 5))], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(1, 0, "user", " ".join(words)), (1, 1, "assistant", "yes"), (2, 0, "user", " ".join(words[:3])), (2, 1, "assistant", "no")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    seen = {}
+
+    def translate(model, rows, max_len=100, **more):
+        seen.update(ids=sorted((r["src_ids"] for r in rows.collect()), key=len), max_len=max_len, size=model.config["vocab_size"])
+        return whole(model, rows, max_len, **more)
+
+    whole = training.translate
+    monkeypatch.setattr(training, "translate", translate)
+    out = registry.QUERIES["translate_greedy"](spark, str(tmp_path)).collect()
+    assert [len(i) for i in seen["ids"]] == [3, 80] and len(set(seen["ids"][1])) == 80
+    assert seen["size"] == 84 and max(seen["ids"][1]) == 83 and seen["max_len"] == 100
+    assert len(out) == 2 and all(r["n"] == len(r["pred_ids"]) <= 100 for r in out)
+
+
 def test_clipping_and_norms():
     grads = {"encoder.x": np.array([3.0, 4.0]), "decoder.attention.W_encoder": np.array([12.0])}
     assert training.norms(grads) == {"total": 13.0, "encoder": 13.0, "decoder": 0.0}
