@@ -12,7 +12,7 @@ Keys are summed before they are shuffled.  Only repeated chunks carry their byte
 in a sort-merge join of two tables, whose skewed keys adaptive execution splits.
 
 Edge cases: lines end at ``\\n``; a null or empty text has no lines and stays as it is.  A null
-doc_id sorts before all others.  Rows that repeat doc_id and text are one occurrence, so they keep
+doc_id sorts before all others; different texts of one doc_id go by line, then by a hash.  Rows that repeat doc_id and text are one occurrence, so they keep
 or lose the same lines.  Repeats of one line, or of fewer than ``LEAST_WORDS`` words, always stay, and
 so do lines without words at the ends of a repeat.  A text all of whose lines go becomes empty; the row
 remains.  Clashing extra columns pass through.
@@ -89,13 +89,13 @@ def removals(docs: DataFrame) -> DataFrame:
     work.short_batches(docs.sparkSession)
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
     found = work.staged(marked.mapInArrow(_list_chunks, CHUNK), "line-chunks")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "line", "mark")
     repeated = work.staged(
         found.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("k1", "k2", "first"), "line-keys"
     )
     f, r = found.alias("f"), repeated.alias("r")
     same = (F.col("f.k1") == F.col("r.k1")) & (F.col("f.k2") == F.col("r.k2"))
-    original = F.col("f.doc_id").eqNullSafe(F.col("r.first.doc_id")) & (F.col("f.line") == F.col("r.first.line"))
+    original = F.col("f.doc_id").eqNullSafe(F.col("r.first.doc_id")) & (F.col("f.line") == F.col("r.first.line")) & (F.col("f.mark") == F.col("r.first.mark"))
     met = f.join(r, same).select("f.*", original.alias("original"))
     per_doc = work.staged(met.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("line", "lines", "start", "size", "k1", "k2", "original")).alias("parts")), "line-parts")  # no more than the document has chunks
     work.discard(found, repeated)

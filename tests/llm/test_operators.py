@@ -447,6 +447,13 @@ def test_line_dedup_of_planted_passages(spark):
     assert {r["doc_id"]: r["text"] for r in left.collect()} == want
 
 
+def test_line_dedup_of_texts_under_one_id(spark):
+    passage = "\n".join(f"line {i} of a passage that two texts share" for i in range(4))
+    rows = [(i, f"{passage}\nend {k} of {i}") for i in (None, 7) for k in (0, 1)]
+    left = [r["text"] for r in linededup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(passage in t for t in left) == [False, False, False, True] and sorted(t.split("\n")[-1] for t in left) == sorted(t.split("\n")[-1] for _, t in rows)
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     where = str(tmp_path)
     docs.withColumn("extra", F.lit(1)).write.parquet(f"{where}/documents.parquet")
