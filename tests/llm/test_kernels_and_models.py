@@ -260,7 +260,7 @@ def test_chunks_resist_shifts():
 def test_fill_covers_everything(sizes, seed):
     rng = np.random.default_rng(seed)
     sizes = np.array(sizes)
-    pieces = packing.fill(sizes, lambda i: rng.permutation(len(sizes))[:4])
+    pieces = packing.fill(sizes, lambda i, left: (p := rng.permutation(len(sizes))[:4])[left[p] > 0])
     for i, n in enumerate(sizes):
         own = sorted((s, k) for d, s, k, _, _ in pieces if d == i)
         assert sum(k for _, k in own) == n and all(a + k == b for (a, k), (b, _) in zip(own, own[1:], strict=False)) and own[0][0] == 0
@@ -277,5 +277,19 @@ def test_fill_covers_everything(sizes, seed):
 def test_word_ids_equal_the_tokenizer():
     known = packing.WordIds(packing.tokenizer_file())
     odd = ["", "Don't 'tis it'S we'LL x'd ÀÉÎ ß ŉ Ǆ İI ſ K", "a\x1cb \x85c\xa0d e　f", "<|endoftext|>x y", "ΑΣ ΣΑΣ.", "café ́x", "12 3a4 ___ foo_bar --- #$%", "日本語 テスト", "😀 a😀b", " \n\t ", "A" * 300]
-    for text, places in zip(odd, known.places(odd), strict=True):
-        assert known.ids(places).tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+    rng = np.random.default_rng(3)
+    signs = list("abcdehst'.,;!? \n\t\x1c09éÈñß\u0130\u0250\u0301\u0331ΣσHK文🙂\u0085\xa0\u3000")
+    odd += ["".join(rng.choice(signs, rng.integers(0, 120))) for _ in range(400)]
+    odd += ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in range(1, 150)]
+    want = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    for _ in range(2):  # first all words are new, then none
+        words, ids = known.documents(*packed(odd))
+        assert [i.tolist() for i in ids] == want and len(words) == len(odd)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % 3)
+    known = packing.WordIds(packing.tokenizer_file())
+    texts = ["alpha beta gamma delta epsilon", "zeta eta theta iota beta", "alpha kappa"]
+    for _ in range(2):
+        assert [i.tolist() for i in known.documents(*packed(texts))[1]] == [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

@@ -1,6 +1,7 @@
 """Operators and stages on a small table with nulls, empty and long texts, ties, repeats and clashing columns, against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -307,7 +308,10 @@ def test_packing_puts_neighbours_together():
 
     words = [np.array(w) for w in ([1, 2, 3, 9], [4, 5, 6], [1, 2, 3], [4, 5, 6, 8])]
     index = packing.Index([*words, *[np.array([100 + i]) for i in range(20)]], np.ones(200), 4.0)
-    assert index.neighbours(0).tolist() == [2] and index.neighbours(1).tolist() == [3] and index.neighbours(5).tolist() == []
+    left = np.ones(24)
+    assert index.neighbours(0, left).tolist() == [2] and index.neighbours(1, left).tolist() == [3] and index.neighbours(5, left).tolist() == []
+    left[2] = 0
+    assert index.neighbours(0, left).tolist() == []
 
 
 def test_packing_deals_near_copies_to_one_shard(spark, monkeypatch):
@@ -349,10 +353,69 @@ def test_packing_asks_for_every_word():
     index = packing.Index(words, idf, mean)
     for seed, q in enumerate(words):
         want = {i: score(q, d) for i, d in enumerate(words) if i != seed and set(q.tolist()) & set(d.tolist())}
-        got = index.neighbours(seed).tolist()
+        got = index.neighbours(seed, np.ones(len(words))).tolist()
         assert set(got) == set(want) and all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
 
 
+def brute_windows(rows, tokenizer, window=2048):
+    """Greedy BM25 windows of one shard, from texts alone: {doc_id: [(start, length, sequence, offset)]}."""
+    import numpy as np
+
+    from lexispark.llm import kernels
+
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    bags = [Counter(WORD.findall(lower(t or ""))) for _, t in rows]
+    bucket = lambda w: int(packing.bucket_of(kernels.Spans(np.frombuffer(w.encode(), np.uint8)).hash(np.array([0]), np.array([len(w.encode())])))[0])
+    hashed = {w: bucket(w) for b in bags for w in b}
+    df = Counter(x for b in bags for x in {hashed[w] for w in b})
+    mean, n = sum(sum(b.values()) for b in bags) / len(bags), len(bags)
+    idf = {w: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) for w, x in hashed.items()}
+    score = lambda q, d: sum(idf[w] * d[w] * 2.2 / (d[w] + 1.2 * (0.25 + 0.75 * sum(d.values()) / mean)) for w in q if w in d)
+    left = [len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    start, out, sequence = [0] * n, defaultdict(list), 0
+
+    def put(i, length, offset):
+        out[rows[i][0]].append((start[i], length, sequence, offset))
+        start[i] += length
+        left[i] -= length
+
+    for i in range(n):
+        while left[i] >= window:
+            put(i, window, 0)
+            sequence += 1
+    seed = None
+    while sum(left) >= window:
+        seed = seed if seed is not None and left[seed] else next(i for i in range(n) if left[i])
+        ranked = sorted((i for i in range(n) if i != seed and left[i] and score(bags[seed], bags[i]) > 0), key=lambda i: (-round(score(bags[seed], bags[i]), 9), i))
+        free, last = window, seed
+        for i in [seed, *ranked, *range(n)]:
+            if free and left[i]:
+                take, last = min(free, left[i]), i
+                put(i, take, window - free)
+                free -= take
+        sequence, seed = sequence + 1, last
+    return out
+
+
+def test_packing_against_brute_force_windows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    common, rare = [f"common{i}" for i in range(60)], [f"topic{i}" for i in range(900)]
+    texts = []
+    for _ in range(160):
+        topic = rng.integers(0, 850)
+        texts.append(" ".join([*rng.choice(common, rng.integers(5, 120)), *rng.choice(rare[topic : topic + 50], rng.integers(5, 90))]))
+    texts += [" ".join(rng.choice(rare, 2500)), None, "", texts[3], texts[3].upper()]
+    rows = list(enumerate(texts))
+    want = brute_windows(rows, packing.WordIds(packing.tokenizer_file()).tokenizer)
+    got, last = defaultdict(list), max(q for p in want.values() for *_, q, _ in p)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        if r["sequence_id"] <= last:  # the rest is the last, partly filled window
+            got[r["doc_id"]].append((r["start"], r["length"], r["sequence_id"], r["offset"]))
+    assert last > 10 and {i: sorted(p) for i, p in got.items()} == {i: sorted(p) for i, p in want.items()}
+
+
 def test_toxicity(docs, labels, empty):
     model = toxicity.learn(docs, labels)
     out = toxicity.score(docs.withColumn("score", F.lit(5)), model).collect()
