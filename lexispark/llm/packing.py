@@ -45,7 +45,7 @@ SHARD_BYTES = 4_000_000
 BUCKETS = 1 << 18
 K1, B = 1.2, 0.75
 #: Words kept in a worker's table of ids, at about a hundred bytes each.
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 800_000
 #: Bytes from which a piece is left to the tokenizer's own model.
 LONG_PIECE = 64
 #: A word in one of so many texts of a shard has its weights as a whole row.
@@ -88,34 +88,26 @@ def bucket_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(46)).astype(np.int64)
 
 
-LISTED = "doc_id long, text string, mark long, dice long, n_words long, terms binary, tf binary"
+def row_terms(block: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct buckets of the words of each row, how often each comes, where each row's begin, and the words of each row."""
+    starts, ends, first = K.words(block, at)
+    code = np.sort(K.row_index(first) * BUCKETS + bucket_of(word_hashes(block, starts, ends)))
+    fresh = np.flatnonzero(np.diff(code, prepend=-1))
+    tf, code = np.diff(fresh, append=len(code)).astype(np.int32), code[fresh]
+    return (code % BUCKETS).astype(np.int32), tf, np.searchsorted(code, np.arange(len(at)) * BUCKETS), np.diff(first)
 
 
 def listed(docs: DataFrame) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text), staged, with its words: their number, the distinct buckets and how often each comes."""
+    """(size, n_words, terms, tf) of every row of ``docs``, staged: bytes, words, distinct buckets, how often each comes."""
 
     def count(batches):
-        kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *[(c, pa.int64()) for c in ("mark", "dice", "n_words")], ("terms", pa.binary()), ("tf", pa.binary())])
-        met: Counter[int] = Counter()  # of the rows of one task
+        kind = pa.schema([("size", pa.int64()), ("n_words", pa.int64()), ("terms", pa.binary()), ("tf", pa.binary())])
         for batch in batches:
-            data, offsets = K.text_of(batch, "text")
-            dice = K.ids_of(batch, "dice").to_numpy()
-            again = np.zeros(len(dice), np.uint64)  # rows that repeat doc_id and text throw dice of their own
-            for i, key in enumerate(dice.tolist()):
-                again[i] = met[key]
-                met[key] += 1
-            dice = K.mix(dice.view(np.uint64) + again * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            for a, b, block, at in K.blocks(data, offsets):
-                starts, ends, first = K.words(block, at)
-                code = np.sort(K.row_index(first) * BUCKETS + bucket_of(word_hashes(block, starts, ends)))
-                fresh = np.flatnonzero(np.diff(code, prepend=-1))
-                tf, code = np.diff(fresh, append=len(code)).astype(np.int32), code[fresh]
-                cut = np.searchsorted(code, np.arange(len(at)) * BUCKETS)
-                lists = [_binary(x, 4 * cut) for x in ((code % BUCKETS).astype(np.int32), tf)]
-                yield K.record(kind, *[K.ids_of(batch, c).slice(a, b - a) for c in ("doc_id", "text", "mark")], dice[a:b], np.diff(first), *lists)
+            for _, _, block, at in K.blocks(*K.text_of(batch, "text")):
+                terms, tf, cut, n_words = row_terms(block, at)
+                yield K.record(kind, np.diff(at) + 8, n_words, _binary(terms, 4 * cut), _binary(tf, 4 * cut))
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", "text", F.lit(7)).alias("dice"))
-    return work.staged(rows.mapInArrow(count, LISTED), "packing-words")
+    return work.staged(docs.select("text").mapInArrow(count, "size long, n_words long, terms binary, tf binary"), "packing-words")
 
 
 def _binary(values: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -191,24 +183,21 @@ class Dealer:
         return np.where(part == 0, cell, self.extra[cell] + part - 1)
 
 
-def deal(rows: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float) -> DataFrame:
-    """(doc_id, text, mark, shard) of the rows of ``listed``."""
-    spark = rows.sparkSession
+def deal(docs: DataFrame, rows: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float) -> DataFrame:
+    """``docs`` (doc_id, text) with a ``mark`` of the text and the ``shard`` of each row; ``rows`` is what ``listed`` gives."""
+    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((df, idf))  # BUCKETS numbers each
 
-    def named_rows(batch):
-        terms, at = K.text_of(batch, "terms")
-        tf, _ = K.text_of(batch, "tf")
-        return names(terms.view(np.int32), tf.view(np.int32), at // 4, K.ids_of(batch, "n_words").to_numpy(), *shared.value, mean)
-
     def name(batches):
         kind = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("size", pa.int64())])
         for batch in batches:
-            found = named_rows(batch)
+            terms, at = K.text_of(batch, "terms")
+            tf, _ = K.text_of(batch, "tf")
+            found = names(terms.view(np.int32), tf.view(np.int32), at // 4, K.ids_of(batch, "n_words").to_numpy(), *shared.value, mean)
             yield K.record(kind, found[:, 0], found[:, 1], K.ids_of(batch, "size"))
 
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    named = work.staged(rows.select("n_words", "terms", "tf", size.alias("size")).mapInArrow(name, "one long, two long, size long"), "packing-names")
+    named = work.staged(rows.mapInArrow(name, "one long, two long, size long"), "packing-names")
+    work.discard(rows)
     dealer = Dealer({r["one"]: r["size"] for r in named.groupBy("one").agg(F.sum("size").alias("size")).collect()}, SHARD_BYTES)  # BUCKETS + 1 rows at most
 
     def place(batches):
@@ -223,11 +212,21 @@ def deal(rows: DataFrame, df: np.ndarray, idf: np.ndarray, mean: float) -> DataF
 
     def give(batches):
         kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("mark", pa.int64()), ("shard", pa.int64())])
+        met: Counter[int] = Counter()  # of the rows of one task
         for batch in batches:
-            shard = told.value.shards(named_rows(batch), K.ids_of(batch, "dice").to_numpy())
-            yield K.record(kind, K.ids_of(batch, "doc_id"), K.ids_of(batch, "text").cast(pa.string()), K.ids_of(batch, "mark"), shard)
+            dice = K.ids_of(batch, "dice").to_numpy()
+            again = np.zeros(len(dice), np.uint64)  # rows that repeat doc_id and text throw dice of their own
+            for i, key in enumerate(dice.tolist()):
+                again[i] = met[key]
+                met[key] += 1
+            dice = K.mix(dice.view(np.uint64) + again * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            for a, b, block, at in K.blocks(*K.text_of(batch, "text")):
+                shard = told.value.shards(names(*row_terms(block, at), *shared.value, mean), dice[a:b])
+                yield K.record(kind, *[K.ids_of(batch, c).slice(a, b - a) for c in ("doc_id", "text", "mark")], shard)
 
-    return rows.mapInArrow(give, "doc_id long, text string, mark long, shard long")
+    # Texts are read again instead of staged: that would take the size of the input on disk.
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", "text", F.lit(7)).alias("dice"))
+    return marked.mapInArrow(give, "doc_id long, text string, mark long, shard long")
 
 
 class Merges:
@@ -630,7 +629,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = END_ID, window:
             columns.append(pa.array([ids[d][s : s + n].astype(np.int32) for d, s, n in zip(doc, start, length, strict=True)], pa.list_(pa.int32())))
         return pa.Table.from_batches([K.record(kind, *[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns])])
 
-    return deal(rows, df, idf, mean).groupBy("shard").applyInArrow(one, ROW + ", ids array<int>" * with_ids)
+    return deal(docs, rows, df, idf, mean).groupBy("shard").applyInArrow(one, ROW + ", ids array<int>" * with_ids)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
