@@ -9,10 +9,13 @@ the original records, byte for byte.
 Payload bytes travel once (a join on the page that supplies them, so no digest is a hot key); who
 supplies them is decided on digests alone, summed before they are shuffled.
 
-Edge cases: a null html is an empty payload; a null url is written as ``about:blank`` and control
-characters in one are percent-encoded.  Payloads of fewer than 100 bytes are always responses.  Rows
-that repeat page_id and payload are the same record written again.  A null page_id never serves as
-the original unless all pages of its payload have none.  Empty tables give an empty archive.
+Edge cases: a null html is an empty payload.  Blanks and control characters of a url are
+percent-encoded in WARC-Target-URI; such a url, and a null one (written as ``about:blank``), has its
+exact form in a header of its own, so every url comes back as it was.  Payloads of fewer than 100
+bytes are always responses.  Rows that repeat page_id and payload are the same record written again.
+A null page_id never serves as the original unless all pages of its payload have none, whose records
+then are all responses.  However often rows repeat, a payload is stored once.  Very long payloads have
+a segment of their own.  Empty tables give an empty archive.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,26 +33,39 @@ from . import work
 
 LEAST_REVISIT = 100
 END = "\r\n\r\n"
-#: Records of one segment at most, so that a segment fits an executor's memory many times over.
-SEGMENT_RECORDS = 2048
+#: Payloads of up to so many bytes share segments of so many records: no segment is over 64 MiB but that of one longer payload.
+SEGMENTS = ((1 << 16, 1 << 10), (1 << 22, 1 << 4), (1 << 62, 1))
+#: What no WARC header may hold in a url, and the header with the exact url where it does.
+ILLEGAL = r"[\x00-\x20\x7F]"
+EXACT_URL, NO_URL = "X-Exact-URL", "none"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _lines(*fields: tuple[str, Column]) -> Column:
-    return F.concat(F.lit("WARC/1.1\r\n"), *[F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")) for name, value in fields], F.lit("\r\n"))
+def _lines(*fields: tuple[str, Column] | Column) -> Column:
+    """A header block of named fields; a bare column is a whole line already, or empty."""
+    line = lambda f: f if isinstance(f, Column) else F.concat(F.lit(f"{f[0]}: "), f[1].cast("string"), F.lit("\r\n"))
+    return F.concat(F.lit("WARC/1.1\r\n"), *map(line, fields), F.lit("\r\n"))
 
 
 def _urn(page: Column) -> Column:
     return F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
 
 
+def _escaped(url: Column) -> Column:
+    """The url with blanks and control characters percent-encoded."""
+    sign = lambda c: F.when(c.rlike(ILLEGAL), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)
+    return F.when(url.rlike(ILLEGAL), F.array_join(F.transform(F.split(url, ""), sign), "")).otherwise(url)
+
+
 def _header() -> Column:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
-    url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20\x7F]", "%20")
+    url = _escaped(F.coalesce("url", F.lit("about:blank")))
+    exact = F.when(F.col("url").isNull(), F.lit(NO_URL)).when(F.col("url").rlike(ILLEGAL), F.url_encode("url"))
+    extra = F.coalesce(F.concat(F.lit(f"{EXACT_URL}: "), exact, F.lit("\r\n")), F.lit(""))
     common = [("WARC-Record-ID", _urn(F.col("page_id"))), ("WARC-Target-URI", url), ("WARC-Date", F.lit(DATE)), ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), ("Content-Type", F.lit("application/http; msgtype=response"))]
-    whole = _lines(("WARC-Type", F.lit("response")), *common, ("Content-Length", F.octet_length(http) + F.col("bytes")))
-    again = _lines(("WARC-Type", F.lit("revisit")), *common, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", _urn(F.col("original"))), ("Content-Length", F.octet_length(http)))
+    whole = _lines(("WARC-Type", F.lit("response")), *common, extra, ("Content-Length", F.octet_length(http) + F.col("bytes")))
+    again = _lines(("WARC-Type", F.lit("revisit")), *common, extra, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", _urn(F.col("original"))), ("Content-Length", F.octet_length(http)))
     return F.concat(F.when(F.col("record_type") == "response", whole).otherwise(again), http)
 
 
@@ -60,23 +76,33 @@ def write_archive(pages: DataFrame, path: str) -> None:
     facts = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("bytes"), F.xxhash64("payload").alias("mark"))
     facts = work.staged(facts, "warc-facts")
     # A digest stands for its bytes only if length and a second hash agree throughout the group.
-    sure = (F.min("bytes") == F.max("bytes")) & (F.min("mark") == F.max("mark"))
-    owners = facts.groupBy("digest").agg(F.min("page_id").alias("original"), sure.alias("sure"))
-    owners = work.staged(
-        owners.select("digest", F.when(F.col("sure"), F.col("original")).otherwise(F.raise_error(F.concat(F.lit("payloads differ under digest "), "digest")).cast("long")).alias("original")), "warc-owners"
-    )
+    per_page = facts.groupBy("digest", "page_id").agg(F.count("*").alias("copies"), F.min("bytes").alias("lo"), F.max("bytes").alias("hi"), F.min("mark").alias("m1"), F.max("mark").alias("m2"))
+    first = F.struct(F.col("page_id").isNull().alias("unknown"), "page_id", "copies")
+    owners = per_page.groupBy("digest").agg(F.min(first).alias("first"), F.max("hi").alias("bytes"), ((F.min("lo") == F.max("hi")) & (F.min("m1") == F.max("m2"))).alias("sure"))
+    sure = F.when(F.col("sure"), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("payloads differ under digest "), "digest")))
+    owners = work.staged(owners.select(sure.alias("digest"), F.col("first.page_id").alias("original"), F.col("first.copies").alias("copies"), "bytes"), "warc-owners")
     f, o = facts.alias("f"), owners.alias("o")
     kind = F.when((F.col("bytes") < LEAST_REVISIT) | F.col("page_id").eqNullSafe(F.col("original")), "response").otherwise("revisit")
-    headers = f.join(o, F.col("f.digest") == F.col("o.digest")).select("f.*", "original").withColumn("record_type", kind)
+    headers = f.join(o, F.col("f.digest") == F.col("o.digest")).select("f.*", "o.original").withColumn("record_type", kind)
     headers.select(_header().alias("header")).write.option("maxRecordsPerFile", 1_000_000).parquet(f"{path}/headers")
-    stored = rows.alias("r").join(o, F.col("r.page_id").eqNullSafe(F.col("o.original")) & (F.col("r.digest") == F.col("o.digest")), "left_semi")
     record = F.concat(
         _lines(
             ("WARC-Type", F.lit("resource")), ("WARC-Record-ID", F.concat(F.lit("<urn:sha256:"), "digest", F.lit(">"))), ("WARC-Target-URI", F.concat(F.lit("urn:sha256:"), "digest")), ("WARC-Date", F.lit(DATE)),
             ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), ("Content-Type", F.lit("text/html; charset=utf-8")), ("Content-Length", F.octet_length("payload")),
         ), "payload",
     )
-    stored.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", SEGMENT_RECORDS).text(f"{path}/payload")
+    longest, repeated = owners.agg(F.max("bytes"), F.max("copies") > 1).first()
+    least = -1
+    for most, records_ in SEGMENTS:
+        if longest is None and least < 0 or longest is not None and longest > least:  # an empty archive has its (empty) first folder
+            mine = o.filter((F.col("bytes") > least) & (F.col("bytes") <= most))
+            stored = rows.alias("r").join(mine, F.col("r.page_id").eqNullSafe(F.col("o.original")) & (F.col("r.digest") == F.col("o.digest"))).select("r.*", "o.copies")
+            if repeated:
+                alone, again = stored.filter("copies = 1"), stored.filter("copies > 1")
+                stored = alone.unionByName(again.dropDuplicates(["digest"]))
+            out = stored.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_)
+            out.mode("append").text(f"{path}/payload")
+        least = most
     work.discard(facts, owners)
 
 
@@ -120,27 +146,29 @@ def stored_payloads(spark: SparkSession, path: str, with_bytes: bool = True) ->
 
 
 def record_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The header table, with what the headers say: page_id, record_type, digest, refers_to."""
+    """The header table, with what the headers say: page_id, record_type, digest, refers_to, url."""
     field = lambda name, value="(.*?)": F.regexp_extract("header", rf"\r\n{name}: {value}\r\n", 1)
+    exact = field(EXACT_URL)
+    url = F.when(exact == NO_URL, None).when(exact != "", F.url_decode(exact)).otherwise(field("WARC-Target-URI"))
     page = lambda name: F.nullif(field(name, "<urn:x-page:(.*?)>"), F.lit("")).cast("string")
     number = lambda c: F.when(c.rlike(r"^-?\d+$"), c.cast("long"))
     return spark.read.schema("header string").parquet(f"{path}/headers").select(
-        number(page("WARC-Record-ID")).alias("page_id"), field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("digest"), number(page("WARC-Refers-To")).alias("refers_to"), "header"
+        number(page("WARC-Record-ID")).alias("page_id"), field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("digest"), number(page("WARC-Refers-To")).alias("refers_to"), url.alias("url"), "header"
     )
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, refers_to, digest, record): each original record's bytes; those of a revisit end with its HTTP header."""
-    store = stored_payloads(spark, path).dropDuplicates(["digest"])
+    """(page_id, url, record_type, refers_to, digest, record): each original record's bytes; those of a revisit end with its HTTP header."""
+    store = stored_payloads(spark, path)
     found = record_headers(spark, path).join(store, "digest")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return found.select("page_id", "record_type", "refers_to", "digest", F.concat(F.col("header").cast("binary"), body, F.lit(END.encode())).alias("record"))
+    return found.select("page_id", "url", "record_type", "refers_to", "digest", F.concat(F.col("header").cast("binary"), body, F.lit(END.encode())).alias("record"))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record, from verified payloads."""
     store = work.staged(stored_payloads(spark, path, with_bytes=False).groupBy("digest").agg(F.min("bytes").alias("bytes")), "warc-index")
-    heads = work.staged(record_headers(spark, path).drop("header"), "warc-heads")
+    heads = work.staged(record_headers(spark, path).drop("header", "url"), "warc-heads")
     # Both sides come from tables, so a hot digest can be split between tasks.
     return heads.join(store, "digest").select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 

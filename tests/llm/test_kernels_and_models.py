@@ -194,16 +194,18 @@ def test_bitmaps_never_lose_a_link():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10_000), st.integers(1, 300), st.integers(1, 6), st.integers(1, 25))
-def test_bit_slices_give_the_exact_top(seed, n, width, k):
+@given(st.integers(0, 10_000), st.integers(1, 300), st.integers(1, 6), st.integers(1, 25), st.sampled_from([40, 1 << 31, 1 << 40, (1 << 63) - 1]))
+def test_bit_slices_give_the_exact_top(seed, n, width, k, most):
     rng = np.random.default_rng(seed)
-    values = rng.integers(-40, 40, (n, width))
-    ids = rng.integers(0, 2 * n, n)
-    query, own = values[0], int(ids[0])
-    slices = bitslice.Slices(values)
-    got, points = bitslice.best(slices, ids, query, own, k)
-    want = sorted((-int(v @ query), int(i)) for v, i in zip(values, ids, strict=True) if i != own)[:k]
-    assert [(-s, i) for i, s in zip(got.tolist(), points.tolist(), strict=True)] == want
+    values = rng.integers(-most - 1, most, (n, width), endpoint=True)
+    rows, ids = rng.permutation(n), rng.integers(0, 2 * n, n)
+    query, own = values[0], int(rows[0])
+    built = bitslice.Slices(values)
+    exact = [sum(a * b for a, b in zip(v, query.tolist(), strict=True)) for v in values.tolist()]
+    want = sorted((-s, int(i)) for s, i, r in zip(exact, ids, rows, strict=True) if r != own)[:k]
+    for slices in (built, bitslice.Slices(values, built.maps.tobytes())):
+        got, points = bitslice.best(slices, rows, ids, query, own, k)
+        assert [(-s, i) for i, s in zip(got.tolist(), points.tolist(), strict=True)] == [(-min(max(-s, -(1 << 63)), (1 << 63) - 1), i) for s, i in want]
 
 
 @settings(max_examples=60, deadline=None)

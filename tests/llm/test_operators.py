@@ -190,28 +190,31 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_bit_sliced_search(spark):
+    import numpy as np
+
     rng = random.Random(3)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.1, 0.0]) for _ in range(6)], i) for i in range(120)]
-    rows += [(120, None, 0), (140, [0.1, None, 0.0, 0.0, 0.0, 0.0], 0), (160, [float("nan")] * 6, 0), (180, [float("inf")] * 6, 0), (200, [], 0), (41, rows[40][1], 9)]
+    rows += [(120, None, 0), (140, [0.1, None, 0.0, 0.0, 0.0, 0.0], 0), (160, [float("nan")] * 6, 0), (180, [float("inf")] * 6, 0), (200, [], 0), (41, rows[40][1], 9), (None, rows[40][1], 9), (220, [0.5] * 5, 0)]
+    rows += [(40, rows[40][1], 1), (40, rows[41][1], 1), (60, [3e7, -3e7, 0.5, 1.0, 0.0, 3e6], 1), (61, [3e7, 3e7, 0.5, 1.0, 0.0, 3e6], 1), (62, [3e7, -3e7, 0.5, 1.0, 0.0, 3e6], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").repartition(3)
     out = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in bitslice.top_k(df).collect())
-    import math
-
-    import numpy as np
-
-    q = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v, _ in rows if v and not any(x is None or not math.isfinite(x) for x in v)]
+    q = [(i, [math.floor(64 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and v and len(v) == 6 and not any(x is None or not math.isfinite(x) for x in v)]
     want = []
-    for i, a in q:
+    for at, (i, a) in enumerate(q):
         if i % 20 == 0:
-            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in q if j != i)[:20]
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for other, (j, b) in enumerate(q) if other != at)[:20]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
-    assert out == sorted(want)
+    assert out == sorted(want) and max(w[3] for w in want) > 1 << 62
     assert bitslice.top_k(df.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 0.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in bitslice.top_k(huge).orderBy("rank").collect()] == [(1, (1 << 63) - 1), (2, -(1 << 63))]
 
 
 def test_warc(spark, tmp_path):
     big = "<p>é\r\n\r\nWARC/1.1\r\n</p>" * 20
     rows = [(3, "http://a/ b\r\nX: y", big, 0), (1, None, big, 0), (2, "http://c", "small", 0), (4, "http://d", "small", 0), (5, "http://e", None, 0), (6, "http://f", "", 0), (7, "http://g", "x" * 100, 0), (8, "http://h", "x" * 100, 0), (8, "http://h", "x" * 100, 0), (None, "u", "y" * 200, 0)]
+    rows += [(20 + i, u, "z" * 150, 0) for i, u in enumerate(["a b", "a\nb", "a%20b", "a+b c\x7f\x00é", "none", "about:blank", "", "a\r\nX-Exact-URL: none"])]
+    rows += [(None, "v", "y" * 200, 0), (40, "http://long", "w" * 70_000, 0), (41, "http://longer", "v" * (5 << 20), 0), (42, "http://longer", "v" * (5 << 20), 0)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(2)
     path = work.fresh_path(spark, "warc-test")
     warc.write_archive(pages, path)
@@ -225,12 +228,15 @@ def test_warc(spark, tmp_path):
         want[(i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first if again else None)] += 1
     assert out == want
     store = warc.stored_payloads(spark, path)
-    assert store.select("digest").distinct().count() == len({(r[2] or "") for r in rows})
-    for r in warc.reconstruct(spark, path).collect():
+    assert sorted(r["digest"] for r in store.select("digest").collect()) == sorted({hashlib.sha256((r[2] or "").encode()).hexdigest() for r in rows})  # each once
+    back = warc.reconstruct(spark, path).collect()
+    assert Counter((r["page_id"], r["url"]) for r in back) == Counter((r[0], r[1]) for r in rows)
+    for r in back:
         (head, block), = warc.records(bytes(r["record"]))
-        if r["record_type"] == "response":
-            assert hashlib.sha256(block.split(b"\r\n\r\n", 1)[1]).hexdigest() == r["digest"]
-        assert head.count(b"WARC-Target-URI") == 1
+        http, payload = block.split(b"\r\n\r\n", 1)
+        html, = {(x[2] or "").encode() for x in rows if x[:2] == (r["page_id"], r["url"])}
+        assert payload == (html if r["record_type"] == "response" else b"") and f"Content-Length: {len(html)}".encode() in http
+        assert head.count(b"\r\nWARC-Target-URI: ") == 1 and head.count(b"\r\n\r\n") == 1
     with pytest.raises(ValueError):
         list(warc.records(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab\r\n\r\n"))
     none = work.fresh_path(spark, "warc-none")
