@@ -11,8 +11,10 @@ Every draw and permutation depends on a seed and on numbers only, and the stream
 (bucket of the id's hash, id, hash of the text), so reruns agree whatever the partitioning is.
 
 Edge cases: a null source is one source of its own, the last.  Null and blank texts have size 0 and
-nothing is taken of them.  Rows that repeat a doc_id are separate entries of the stream.  An empty
-table gives no rows.  Other columns are ignored by ``plan`` and carried along by ``mix``.
+nothing is taken of them.  Rows that repeat a doc_id are separate entries of the stream, also where
+all their columns agree; a null doc_id comes first in its bucket.  A very long text is cut by blocks
+like any other.  An empty table gives no rows.  Other columns are ignored by ``plan`` and carried along
+by ``mix``.  The table of sources (name, size, target) is held by the driver and every task.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 512
 SEED = 20_240_229
+#: Slots that one task puts out, more or less.
+SLOTS = 1 << 20
 #: Above this many sources their table is joined by key and no longer broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -125,7 +129,7 @@ def _streams(docs: DataFrame) -> tuple[DataFrame, list[Source], int]:
     spark = docs.sparkSession
     slim = work.staged(
         docs.select(
-            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark")
+            "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("mark")
         ),
         "mix-sizes",
     )
@@ -192,7 +196,9 @@ def draw(spark: SparkSession, sources: list[Source], seed: int = SEED) -> DataFr
                     for at in range(lo, hi, 1 << 16):
                         yield from _blocks(out, sources[d], d, np.arange(at, min(hi, at + (1 << 16))), int(need[d]), int(last[d]), shard)
 
-    return spans.mapInArrow(slots, kind)
+    # The window leaves all spans of a source in one task; dealt anew, with a number that adaptive execution keeps.
+    width = max(work.shuffle_width(spark), -(-total // SLOTS))
+    return spans.repartition(width, "shard", "s").mapInArrow(slots, kind)
 
 
 def _blocks(out: pa.Schema, source: Source, s: int, slot: np.ndarray, need: int, last: int, shard: int):
@@ -240,8 +246,8 @@ def mix(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array_sort(F.collect_list(F.struct("first", "words"))).alias("parts"), F.sum("words").alias("n")
     )  # parts of one row: at most its words / BLOCK_WORDS + 2
     got = got.hint("merge").join(streams.filter("size > 0"), ["s", "offset"]).select("doc_id", "source", "mark", "size", "turn", "parts", "n")
-    whole = docs.withColumn("mark", F.xxhash64(text)).dropDuplicates(["doc_id", "source", "mark"])
-    same = [F.col("w.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("w.source").eqNullSafe(F.col("g.source")), F.col("w.mark") == F.col("g.mark")]
+    whole = docs.withColumn("__mark", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).dropDuplicates(["doc_id", "source", "__mark"])  # equal in all columns
+    same = [F.col("w.doc_id").eqNullSafe(F.col("g.doc_id")), F.col("w.source").eqNullSafe(F.col("g.source")), F.col("w.__mark") == F.col("g.mark")]
     joined = whole.alias("w").join(got.hint("merge").alias("g"), same[0] & same[1] & same[2])
     cut = F.when(F.col("g.n") == F.col("g.size"), F.col(f"w.{text}")).otherwise(_stretches(F.col(f"w.{text}"), F.col("g.parts")))
     out = joined.select(*[cut.alias(text) if c == text else F.col(f"w.`{c}`").alias(c) for c in docs.columns])

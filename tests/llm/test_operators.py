@@ -122,6 +122,69 @@ def test_mixing(docs, empty):
             assert r["text"] == texts[r["doc_id"]] and r["n_chars"] == len(r["text"])
 
 
+def plain_permutation(n, key):
+    """The blocks 0..n-1 in the order of a keyed four-round Feistel network, by Python integers alone."""
+    word = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & word
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & word
+        return x ^ x >> 31
+
+    half = max(1, math.ceil(math.log2(max(n, 2)) / 2))
+    keys = [mix((i * 0x9E3779B97F4A7C15 + key) & word) for i in range(1, 5)]
+
+    def once(x):
+        left, right = x >> half, x & (1 << half) - 1
+        for k in keys:
+            left, right = right, left ^ (mix(right + k & word) & (1 << half) - 1)
+        return left << half | right
+
+    out = []
+    for x in range(n):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        out.append(x)
+    return out
+
+
+def test_mixing_against_brute_force(spark, docs):
+    streams, sources, _ = mixing._streams(docs.select("doc_id", "source", "text"))
+    rows = streams.collect()
+    taken = Counter()
+    for i, source in enumerate(sources):
+        own = sorted((r["offset"], r["size"]) for r in rows if r["s"] == i)
+        ends = [0, *(o + n for o, n in own)]
+        assert [o for o, n in own if n] == [e for e, (_, n) in zip(ends, own, strict=False) if n] and ends[-1] == source.size
+        times, left, blocks, turn = [0] * source.size, math.floor(source.target), -(-source.size // 512), 0
+        while left and source.size:
+            for block in plain_permutation(blocks, source.key + 1_000_003 * turn):
+                take = min(left, 512, source.size - 512 * block)
+                times[512 * block : 512 * block + take] = [n + 1 for n in times[512 * block : 512 * block + take]]
+                left -= take
+            turn += 1
+        for r in rows:
+            if r["s"] == i:
+                taken[(r["doc_id"], r["source"], r["size"], sum(times[r["offset"] : r["offset"] + r["size"]]))] += 1
+    assert Counter((r["doc_id"], r["source"], r["size"], r["taken"]) for r in mixing.plan(docs).collect()) == taken
+
+
+def test_mixing_draws_every_slot_once(spark):
+    sources = [mixing.Source(f"s{i}", n, t, 17 * i, 4) for i, (n, t) in enumerate([(4003, 7000.5), (12_001, 12_001), (9, 4.0), (0, 0.0)])]
+    drawn = mixing.draw(spark, sources)
+    rows = drawn.collect()
+    per, shards = Counter((r["s"], r["turn"], r["block"]) for r in rows), Counter(r["shard"] for r in rows)
+    assert max(per.values()) == 1 and Counter(s for s, _, _ in per) == {i: s.slots()[0] for i, s in enumerate(sources) if s.size}
+    assert [shards[i] for i in range(len(shards) - 1)] == [1024] * (len(shards) - 1) and len(shards) > 3
+    counts = [[sum(r["s"] == i and r["shard"] == k for r in rows) for i in range(4)] for k in range(len(shards) - 1)]
+    total = len(rows)
+    assert all(abs(n - 1024 * sources[i].slots()[0] / total) < 160 for c in counts for i, n in enumerate(c))  # five deviations of a multinomial at most
+    assert drawn.rdd.getNumPartitions() >= 4
+
+
 def shingles(t):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     if not w:
