@@ -1,8 +1,9 @@
 """Byte-pair encoding over words: exact pair counts, deterministic merges, encoding by merge rank.
 
 Word frequencies are counted in Spark; merges are learned on the table of distinct words, with exact
-pair deltas and ties broken by (frequency descending, left, right).  Texts are encoded by distinct
-word: each word visits Python once, and ids join back by word.
+pair deltas and ties broken by (frequency descending, left, right).  That table is the one thing that
+visits the driver; it holds ``MAX_WORDS`` words at most, and a corpus with more learns from the most
+frequent of them.  Texts are encoded row by row over Arrow batches, each distinct word of a batch once.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import lists
 from ..functions import text as X
 from ..sources import files
-from .vocabulary import SPECIALS, UNK, small, with_ends
+from .vocabulary import SPECIALS, UNK, names_of, with_ends
 
 END = "</w>"
+#: Distinct words that merges are learned from, the most frequent first: a bound for the driver's table.
+MAX_WORDS = 4_000_000
 
 
 def prepared(text: Column, lowercase: bool = True) -> Column:
@@ -129,15 +133,18 @@ class BPETokenizer:
     merges: list[tuple[str, str]] = field(default_factory=list)
     vocabulary: DataFrame | None = None  # (token, idx)
 
-    def train(self, lines: DataFrame) -> "BPETokenizer":
+    def train(self, lines: DataFrame, n_merges: int | None = None) -> "BPETokenizer":
+        """Learn as many merges as fill ``vocab_size``, or just ``n_merges``, which then sets ``vocab_size``."""
         spark = lines.sparkSession
-        initial = initial_symbols(lines, self.lowercase).persist()
-        n_symbols = initial.select(F.explode("symbols").alias("s")).distinct().count()
-        # Words too rare to lift any pair on their own still count; the distinct-word table is what learning needs.
-        table = {tuple(r["symbols"]): r["freq"] for r in initial.select("symbols", "freq").toLocalIterator()}
-        self.merges = learn_merges(table, max(0, self.vocab_size - len(SPECIALS) - n_symbols), self.min_freq)
+        counts = words(lines.select("text"), self.lowercase).groupBy("word").agg(F.count("*").alias("freq"))
+        found = counts.limit(MAX_WORDS + 1).toArrow()
+        if found.num_rows > MAX_WORDS:
+            found = counts.orderBy(F.desc("freq"), "word").limit(MAX_WORDS).toArrow()
+        table = {(*word, END): freq for word, freq in zip(found["word"].to_pylist(), found["freq"].to_pylist(), strict=True)}
         symbols = {s for word in table for s in word}
-        initial.unpersist()
+        if n_merges is not None:
+            self.vocab_size = len(SPECIALS) + len(symbols) + n_merges
+        self.merges = learn_merges(table, max(0, self.vocab_size - len(SPECIALS) - len(symbols)), self.min_freq)
         final = sorted(symbols | {s for pair in self.merges for s in (*pair, pair[0] + pair[1])})
         rows = list(enumerate([*SPECIALS, *final]))
         self.vocabulary = spark.createDataFrame([(t, i) for i, t in rows], "token string, idx int")
@@ -159,25 +166,20 @@ class BPETokenizer:
 
     def encode(self, lines: DataFrame, add_bos: bool = False, add_eos: bool = False) -> DataFrame:
         """``lines`` with ``ids``."""
-        keys = [c for c in lines.columns if c != "text"]
-        occurrences = words(lines, self.lowercase)
-        table = self.word_table(occurrences.select("word").distinct())
-        coded = table.select("word", F.posexplode("pieces").alias("at", "token")).join(small(self.vocabulary), "token", "left")
-        coded = coded.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("idx", F.lit(UNK)).alias("idx")))), lambda p: p["idx"]).alias("word_ids"))
-        rows = occurrences.join(coded, "word")
-        ids = rows.groupBy(*keys).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word_ids"))), lambda p: p["word_ids"])).alias("ids"))
-        out = lines.join(ids, keys, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+        ranks, known = self.ranks, {r["token"]: r["idx"] for r in self.vocabulary.collect()}  # vocab_size entries each
+
+        def ids_of(model, word):
+            return [model[1].get(p, UNK) for p in encode_symbols([*word, END], model[0])]
+
+        code = lists.mapper(lines.sparkSession, ids_of, (ranks, known))
+        out = lines.withColumn("ids", lists.or_empty(code(X.split_words(prepared(F.col("text"), self.lowercase)))))
         return out.withColumn("ids", with_ends(F.col("ids"), add_bos, add_eos)) if add_bos or add_eos else out
 
     def decode(self, coded: DataFrame, keys: list[str], remove_special: bool = True) -> DataFrame:
         """(keys, text): pieces joined, end marks read as blanks."""
-        rows = coded.select(*keys, F.posexplode("ids").alias("pos", "idx")).join(small(self.vocabulary), "idx", "left")
-        if remove_special:
-            rows = rows.filter(F.col("idx") >= len(SPECIALS))
-        rows = rows.withColumn("token", F.coalesce("token", F.lit(SPECIALS[UNK])))
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]), "")
-        out = rows.groupBy(*keys).agg(X.strip(F.replace(joined, F.lit(END), F.lit(" "))).alias("text"))
-        return coded.select(*keys).join(out, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+        ids = F.filter("ids", lambda i: i >= len(SPECIALS)) if remove_special else F.col("ids")
+        rows = names_of(coded.select(*keys, ids.alias("ids")), self.vocabulary)
+        return rows.select(*keys, X.strip(F.replace(F.array_join("words", ""), F.lit(END), F.lit(" "))).alias("text"))
 
     def merge_table(self, spark) -> DataFrame:
         return spark.createDataFrame([(i, a, b, a + b) for i, (a, b) in enumerate(self.merges)], "rank int, left string, right string, merged string")
@@ -235,12 +237,43 @@ def family_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def trace(lines: DataFrame, tokenizer: BPETokenizer) -> DataFrame:
-    """(keys, pos, word, symbols, pieces): each step of encoding."""
+    """(keys, pos, word, symbols, pieces): what encoding starts from and ends with."""
     rows = words(lines, tokenizer.lowercase)
     table = tokenizer.word_table(rows.select("word").distinct())
     return rows.join(table, "word").withColumn("symbols", symbols_of(F.col("word")))
 
 
+def encode_steps(distinct: DataFrame, tokenizer: BPETokenizer) -> DataFrame:
+    """(word, step, merged, symbols): the symbols of each distinct word after every merge; step 0 is the spelling."""
+    ranks = distinct.sparkSession.sparkContext.broadcast(tokenizer.ranks)
+
+    @F.pandas_udf("array<struct<merged:string,symbols:array<string>>>")
+    def steps(words_: pd.Series) -> pd.Series:
+        def one(word):
+            symbols, out = [*word, END], []
+            out.append((None, list(symbols)))
+            while pairs := [(ranks.value[p], i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks.value]:
+                _, at = min(pairs)
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                out.append((symbols[at], list(symbols)))
+            return out
+
+        return words_.map(one)
+
+    rows = distinct.select("word", F.posexplode(steps("word")).alias("step", "s"))
+    return rows.select("word", "step", "s.merged", "s.symbols")
+
+
+def parallel_examples(pairs: DataFrame, tokenizer: BPETokenizer) -> DataFrame:
+    """(line_no, src_pieces, tgt_pieces, ratio) of parallel lines (line_no, src, tgt); ratio is target to source pieces."""
+    out = pairs.select("line_no", "src", "tgt")
+    for side in ("src", "tgt"):
+        coded = tokenizer.encode(out.withColumn("text", F.col(side))).withColumnRenamed("ids", f"{side}_ids").drop("text")
+        out = names_of(coded, tokenizer.vocabulary, f"{side}_ids", f"{side}_pieces")
+    n = {side: F.size(f"{side}_pieces") for side in ("src", "tgt")}
+    return out.select("line_no", "src_pieces", "tgt_pieces", F.when(n["src"] > 0, n["tgt"] / n["src"]).alias("ratio"))
+
+
 def coverage(coded: DataFrame, key: str = "lang") -> DataFrame:
     """Mean pieces and characters, fertility, share of UNK and characters per piece of each group; empty texts are left out."""
     rows = coded.filter("text <> ''").select(key, F.size("ids").alias("n"), F.length("text").alias("c"), F.size(F.filter("ids", lambda i: i == UNK)).alias("unk"))

@@ -52,10 +52,13 @@ def length_mismatches(pairs: DataFrame, threshold: float = 3.0) -> DataFrame:
     return rows.withColumn("ratio", F.greatest("src_len", "tgt_len") / F.least("src_len", "tgt_len")).filter(F.col("ratio") > threshold)
 
 
-def deduplicate(pairs: DataFrame) -> DataFrame:
-    """The first row of each exact pair; map-side minima, so a pair that fills a third of the corpus is one row a task."""
-    rest = [c for c in pairs.columns if c not in ("src", "tgt")]
-    first = pairs.groupBy("src", "tgt").agg(F.min(F.struct("line_no", *[c for c in rest if c != "line_no"])).alias("f"))
+def deduplicate(pairs: DataFrame, *within: str) -> DataFrame:
+    """The first row of each exact pair, in the whole table or for each value of ``within``.
+
+    Minima are taken on the map side, so a pair that fills a third of the corpus is one row a task.
+    """
+    rest = [c for c in pairs.columns if c not in ("src", "tgt", *within)]
+    first = pairs.groupBy(*within, "src", "tgt").agg(F.min(F.struct("line_no", *[c for c in rest if c != "line_no"])).alias("f"))
     return first.select(*[F.col(f"f.{c}").alias(c) if c in rest else F.col(c) for c in pairs.columns])
 
 
@@ -86,9 +89,9 @@ def judged(pairs: DataFrame, min_tokens: int = 3, max_tokens: int = 100, max_rat
 
 
 def clean(pairs: DataFrame, dedup: bool = True, **limits) -> DataFrame:
-    """The cleaned pairs, in the columns of ``pairs``."""
+    """The cleaned pairs, in the columns of ``pairs``; splits, if there is such a column, are deduplicated each on its own."""
     kept = judged(pairs, **limits).filter("reject_reason is null").select(pairs.columns)
-    return deduplicate(kept) if dedup else kept
+    return deduplicate(kept, *[c for c in pairs.columns if c == "split"]) if dedup else kept
 
 
 def accounting(pairs: DataFrame, dedup: bool = True, **limits) -> DataFrame:

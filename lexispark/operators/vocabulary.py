@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import staging
+from ..functions import lists
 from ..functions import text as X
 from ..sources import files
 
@@ -31,17 +33,18 @@ def word_counts(toks: DataFrame, order: tuple[str, ...] = ("doc_id", "line_no",
 def assign_ids(counts: DataFrame, min_freq: int = 5, max_size: int | None = None) -> DataFrame:
     """(token, idx, freq): the most frequent first, ties by first sight; ids follow the specials.
 
-    The order is global, so rows are ranked within range partitions and shifted by what lies before
-    them; no single task sees the whole vocabulary.
+    The counts are staged once.  Words are ranked in stretches of the order (frequency, then the first
+    field of ``first_seen``), so the many rare words of one frequency are no single task.
     """
     kept = counts.filter(F.col("freq") >= min_freq)
     if max_size is not None:
         kept = kept.orderBy(F.desc("freq"), "first_seen").limit(max(0, max_size - len(SPECIALS)))
-    # Ranks: words of one frequency are numbered among themselves, frequencies are offset by a small table of them.
-    sizes = kept.groupBy("freq").agg(F.count("*").alias("n"))
-    offsets = sizes.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a frequency
-    within = kept.withColumn("rn", F.row_number().over(Window.partitionBy("freq").orderBy("first_seen")))
-    return within.join(offsets, "freq").select("token", (F.col("base") + F.col("rn") + len(SPECIALS) - 1).cast("int").alias("idx"), "freq")
+    kept = staging.staged(kept.select("token", "freq", "first_seen"), "word-counts")
+    least, most = kept.agg(F.min(lead := F.col(f"first_seen.{kept.schema['first_seen'].dataType[0].name}")), F.max(lead)).first()
+    number = isinstance(least, int)
+    share = (F.coalesce(lead, F.lit(least)) - F.lit(least)) / F.lit(float(most - least + 1)) if number else F.lit(0.0)  # below 1
+    out = staging.ranked(kept, share - F.col("freq"), [F.desc("freq"), F.col("first_seen")])
+    return staging.staged(out.select("token", (F.col("rank") + len(SPECIALS) - 1).cast("int").alias("idx"), "freq"), "vocabulary")
 
 
 def kept_share(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -62,12 +65,22 @@ def encode_tokens(toks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.withColumn("idx", F.coalesce("idx", F.lit(UNK)))
 
 
-def assembled(coded: DataFrame, keys: list[str], add_bos: bool = False, add_eos: bool = False) -> DataFrame:
-    """(keys, ids): the ids of each text in order."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda p: p["idx"])
-    if add_bos or add_eos:
-        ids = with_ends(ids, add_bos, add_eos)
-    return coded.groupBy(*keys).agg(ids.alias("ids"))
+def collected(vocabulary: DataFrame, *columns: str, rows: int = BROADCAST_ROWS):
+    """These columns as an Arrow table if there are at most ``rows`` rows, else None."""
+    table = vocabulary.select(*columns).limit(rows + 1).toArrow()
+    return table.combine_chunks() if table.num_rows <= rows else None
+
+
+def encode_lists(rows: DataFrame, words: str, vocabulary: DataFrame, ids: str = "ids") -> DataFrame:
+    """``rows`` with the ids of a list of words, row by row; a null list has none."""
+    table = collected(vocabulary, "token", "idx")
+    if table is not None:
+        code = lists.coder(rows.sparkSession, table["token"].combine_chunks(), table["idx"].to_numpy(), UNK)
+        return rows.withColumn(ids, lists.or_empty(code(F.col(words))))
+    rows = staging.staged(rows.withColumn("__row", F.monotonically_increasing_id()), "encode-rows")
+    toks = rows.select("__row", F.posexplode(words).alias("pos", "token"))
+    coded = encode_tokens(toks, vocabulary).groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx"))), lambda p: p["idx"]).alias(ids))
+    return rows.join(coded, "__row", "left").withColumn(ids, lists.or_empty(F.col(ids))).drop("__row")
 
 
 def with_ends(ids: Column, add_bos: bool = True, add_eos: bool = True) -> Column:
@@ -75,17 +88,28 @@ def with_ends(ids: Column, add_bos: bool = True, add_eos: bool = True) -> Column
     return F.concat(*parts)
 
 
+def names_of(rows: DataFrame, vocabulary: DataFrame, ids: str = "ids", words: str = "words") -> DataFrame:
+    """``rows`` with the words of a list of ids, row by row; ids that the vocabulary lacks read as the UNK token."""
+    table = collected(vocabulary, "idx", "token")
+    if table is not None:
+        at, tokens_ = table["idx"].to_pylist(), table["token"].to_pylist()
+        names: list[str | None] = [*SPECIALS, *[None] * max(0, max(at, default=0) + 1 - len(SPECIALS))]
+        for i, token in zip(at, tokens_, strict=True):
+            names[i] = token
+        return rows.withColumn(words, lists.or_empty(lists.reader(rows.sparkSession, names, SPECIALS[UNK])(F.col(ids)), "array<string>"))
+    rows = staging.staged(rows.withColumn("__row", F.monotonically_increasing_id()), "decode-rows")
+    special = F.element_at(F.array(*[F.lit(s) for s in SPECIALS]), F.least(F.col("idx"), F.lit(3)) + 1)
+    met = rows.select("__row", F.posexplode(ids).alias("pos", "idx")).join(vocabulary.select("idx", "token"), "idx", "left")
+    met = met.withColumn("token", F.when(F.col("idx") < len(SPECIALS), special).otherwise(F.coalesce("token", F.lit(SPECIALS[UNK]))))
+    out = met.groupBy("__row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]).alias(words))
+    return rows.join(out, "__row", "left").withColumn(words, lists.or_empty(F.col(words), "array<string>")).drop("__row")
+
+
 def decode(coded: DataFrame, vocabulary: DataFrame, keys: list[str], remove_special: bool = True) -> DataFrame:
     """(keys, text): words joined by blanks; unknown ids read as the UNK token unless specials are removed."""
-    rows = coded.select(*keys, F.posexplode("ids").alias("pos", "idx"))
-    words = small(vocabulary.select("idx", F.col("token").alias("word")))
-    rows = rows.join(words, "idx", "left")
-    special = F.element_at(F.array(*[F.lit(s) for s in SPECIALS]), F.least(F.col("idx"), F.lit(3)) + 1)
-    rows = rows.withColumn("word", F.when(F.col("idx") < len(SPECIALS), special).otherwise(F.coalesce("word", F.lit(SPECIALS[UNK]))))
-    if remove_special:
-        rows = rows.filter(F.col("idx") >= len(SPECIALS))
-    out = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda p: p["word"]), " ").alias("text"))
-    return coded.select(*keys).join(out, keys, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    ids = F.filter("ids", lambda i: i >= len(SPECIALS)) if remove_special else F.col("ids")
+    rows = names_of(coded.select(*keys, ids.alias("ids")), vocabulary)
+    return rows.select(*keys, F.array_join("words", " ").alias("text"))
 
 
 @dataclass
@@ -103,9 +127,8 @@ class WordTokenizer:
 
     def encode(self, lines: DataFrame, add_bos: bool = False, add_eos: bool = False) -> DataFrame:
         """``lines`` with ``ids``; a line without words has none but the ends."""
-        keys = [c for c in lines.columns if c != "text"]
-        ids = assembled(encode_tokens(tokens(lines, self.lowercase), self.vocabulary), keys)
-        out = lines.join(ids, keys, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+        rows = lines.withColumn("__words", X.plain_words(F.col("text"), self.lowercase))
+        out = encode_lists(rows, "__words", self.vocabulary).drop("__words")
         return out.withColumn("ids", with_ends(F.col("ids"), add_bos, add_eos)) if add_bos or add_eos else out
 
     def decode(self, coded: DataFrame, keys: list[str], remove_special: bool = True) -> DataFrame:

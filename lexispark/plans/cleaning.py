@@ -96,7 +96,7 @@ ORACLE_SQL = {
         select split, count(*) as original, cast(0 as bigint) as unicode_normalized, cast(0 as bigint) as html_cleaned, count(*) filter (where spaced) as whitespace_normalized,
           count(*) filter (where reason = 'empty') as empty, count(*) filter (where reason = 'punctuation_only') as punctuation_only, count(*) filter (where reason = 'length_filtered') as length_filtered, count(*) filter (where reason = 'misaligned') as misaligned,
           count(*) filter (where rn > 1) as duplicates, count(*) filter (where rn = 1) as final from k group by split""",
-    "preprocess_rows": f"select line_no, split, src, tgt from (select *, {_REASON} as reason from ({_judged(_LP)})) where reason is null qualify row_number() over (partition by src, tgt order by line_no) = 1",
+    "preprocess_rows": f"select line_no, split, src, tgt from (select *, {_REASON} as reason from ({_judged(_LP)})) where reason is null qualify row_number() over (partition by split, src, tgt order by line_no) = 1",
     "preprocess_no_dedup": f"select line_no, src, tgt from (select *, {_REASON} as reason from ({_judged('(select *, 0 as split from (' + T.PAIRS + '))')})) where reason is null",
     "shuffle_pairs": T.PAIRS,
     "line_lengths": f"select doc_id, line_no, {_N('text')} as n_words, length(text) as n_chars, case when length(text) > 60 then text[1:57] || '...' else text end as shown from {_L}",

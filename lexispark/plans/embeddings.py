@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bleu as B
@@ -10,18 +11,21 @@ from ..operators import sgns as G
 from ..operators import similarity as S
 from ..operators import vocabulary as V
 from ..operators.nmt import models, training
+from ..staging import staged
 from . import tables as T
 from . import tokenizers as K
 
 
+def _frequent(s, d):
+    return V.word_counts(V.tokens(T.lines(s, d))).filter("freq >= 5").select("token")
+
+
 def _sentences(s, d):
-    lines = T.lines(s, d)
-    vocab = V.word_counts(V.tokens(lines)).filter("freq >= 5").select("token")
-    return C.sentences(lines, vocab)
+    return C.sentences(T.lines(s, d), _frequent(s, d))
 
 
 def _cells(s, d, weighting="harmonic", window=5):
-    return C.cooccurrence(_sentences(s, d), window, weighting)
+    return C.counted(T.lines(s, d), _frequent(s, d), window, weighting)
 
 
 def _rounded(df, *names):
@@ -29,10 +33,10 @@ def _rounded(df, *names):
 
 
 def _neighbours(s, d):
-    """The five strongest cells of each word, from map-side heaps of pairs."""
-    cells = C.ppmi(_cells(s, d, window=2).persist()).withColumn("p", F.round("ppmi", 6))
-    best = cells.groupBy("w").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("m"), "c"))), 1, 5).alias("top"))
-    return best.select("w", F.posexplode("top").alias("i", "t")).select("w", (F.col("i") + 1).cast("long").alias("rank"), F.col("t.c").alias("c"), (-F.col("t.m")).alias("ppmi"))
+    """The five strongest cells of each word; Spark keeps five a word on the map side."""
+    cells = C.ppmi(staged(_cells(s, d, window=2), "cells")).withColumn("ppmi", F.round("ppmi", 6))
+    order = Window.partitionBy("w").orderBy(F.desc("ppmi"), "c")
+    return cells.withColumn("rank", F.row_number().over(order)).filter("rank <= 5").select("w", F.col("rank").cast("long").alias("rank"), "c", "ppmi")
 
 
 def _vectors(s, d):
@@ -73,7 +77,6 @@ SHAPES = [("encoder.embedding", [100, 8]), ("decoder.out.weight", [16, 100]), ("
 def _translate(s, d):
     """Whole user turns in the tokenizer's own ids, decoded to the operator's default length by a small untrained model."""
     tok = K._tokenizer(s, d)
-    tok.vocabulary = tok.vocabulary.persist()
     size = (tok.vocabulary.agg(F.max("idx")).first()[0] or 3) + 1
     src = tok.encode(T.pairs(s, d).select("line_no", F.col("src").alias("text"))).select("line_no", F.col("ids").alias("src_ids")).filter(F.size("src_ids") > 0)
     model = models.build("attention", vocab_size=size, embedding_dim=8, hidden_dim=8, num_layers=1, dropout=0.0, attention_dim=8)
@@ -85,8 +88,8 @@ QUERIES = {
     "cooc_uniform": lambda s, d: _cells(s, d, "uniform", 2),
     "cooc_harmonic": lambda s, d: _rounded(_cells(s, d), "x"),
     "cooc_linear": lambda s, d: _rounded(_cells(s, d, "linear", 3), "x"),
-    "matrix_stats": lambda s, d: _rounded(C.matrix_stats(_cells(s, d).persist()), "total", "density", "sparsity"),
-    "ppmi": lambda s, d: _rounded(C.ppmi(_cells(s, d).persist()), "ppmi"),
+    "matrix_stats": lambda s, d: _rounded(C.matrix_stats(staged(_cells(s, d), "cells")), "total", "density", "sparsity"),
+    "ppmi": lambda s, d: _rounded(C.ppmi(staged(_cells(s, d), "cells")), "ppmi"),
     "ppmi_top_neighbors": _neighbours,
     "ppmi_svd": _svd,
     "cosine_topk": lambda s, d: _rank(S.most_similar(_vectors(s, d), "v7", 10)),

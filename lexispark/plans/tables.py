@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+#: One number names a line or a turn: so many at most to a document or conversation.
+LINES_A_DOCUMENT, TURNS = 10_000_000, 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,19 +36,19 @@ def line_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", F.split("text", "\n").alias("ls")))
     both = F.transform(F.sequence(F.lit(1), F.size("ls") - 1), lambda i: F.struct(i.alias("i"), F.element_at("ls", i).alias("a"), F.element_at("ls", i + 1).alias("b")))
     rows = docs.filter(F.size("ls") > 1).select("doc_id", "lang", F.explode(both).alias("p"))
-    return rows.select((F.col("doc_id") * 100000 + F.col("p.i")).alias("line_no"), F.col("lang").alias("split"), X.strip(F.col("p.a")).alias("src"), X.strip(F.col("p.b")).alias("tgt"))
+    return rows.select((F.col("doc_id") * LINES_A_DOCUMENT + F.col("p.i")).alias("line_no"), F.col("lang").alias("split"), X.strip(F.col("p.a")).alias("src"), X.strip(F.col("p.b")).alias("tgt"))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     user = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
     reply = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tgt"))
-    return user.join(reply, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), "src", "tgt")
+    return user.join(reply, ["conv_id", "turn"]).select((F.col("conv_id") * TURNS + F.col("turn")).alias("line_no"), "src", "tgt")
 
 
 LINES = "select doc_id, lang, u.p as line_no, trim(u.t) as text from documents, unnest(string_split(text, chr(10))) with ordinality as u(t, p)"
-LINE_PAIRS = f"select doc_id * 100000 + line_no as line_no, lang as split, text as src, lead(text) over (partition by doc_id order by line_no) as tgt from ({LINES}) qualify tgt is not null"
-PAIRS = "select u.conv_id * 1000 + u.turn as line_no, u.text as src, a.text as tgt from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'"
+LINE_PAIRS = f"select doc_id * {LINES_A_DOCUMENT} + line_no as line_no, lang as split, text as src, lead(text) over (partition by doc_id order by line_no) as tgt from ({LINES}) qualify tgt is not null"
+PAIRS = f"select u.conv_id * {TURNS} + u.turn as line_no, u.text as src, a.text as tgt from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'"
 
 
 def words_sql(column: str) -> str:

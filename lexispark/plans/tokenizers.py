@@ -63,9 +63,7 @@ def _shift(s, d):
 
 
 def _learned(s, d):
-    initial = B.initial_symbols(T.lines(s, d))
-    n = initial.select(F.explode("symbols").alias("x")).distinct().count()
-    return B.BPETokenizer(vocab_size=len(V.SPECIALS) + n + MERGES).train(T.lines(s, d))
+    return B.BPETokenizer().train(T.lines(s, d), MERGES)
 
 
 def _pieces(s, d):
