@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..functions import text as X
+from ..sources import files
 
 #: Reasons in the order in which a pair is charged to them.
 REASONS = ("empty", "punctuation_only", "length_filtered", "misaligned")
@@ -107,3 +109,23 @@ def accounting(pairs: DataFrame, dedup: bool = True, **limits) -> DataFrame:
         *[F.sum(F.when(F.col("reject_reason") == r, F.col("n")).otherwise(0)).alias(r) for r in REASONS], again.cast("long").alias("duplicates"),
     )
     return total.withColumn("final", F.expr("original - " + " - ".join([*REASONS, "duplicates"])))
+
+
+def preprocess_splits(spark, source: str, target: str, langs: tuple[str, str] = ("en", "es"), splits: tuple[str, ...] = ("train", "dev", "test"), dedup: tuple[str, ...] = ("train",), shuffled: tuple[str, ...] = ("train",), seed: int = 42, **limits) -> DataFrame:
+    """Clean the files ``source/<split>.<lang>`` into ``target``, split by split, and write the counters as JSON; gives the counters."""
+    counted = []
+    for split in splits:
+        pairs = files.read_parallel(spark, *[f"{source}/{split}.{lang}" for lang in langs]).withColumn("split", F.lit(split))
+        pairs = staging.staged(pairs, f"split-{split}")
+        counted.append(accounting(pairs, split in dedup, **limits))
+        kept = staging.staged(clean(pairs, split in dedup, **limits), f"clean-{split}")
+        order = F.xxhash64("line_no", F.lit(seed)) if split in shuffled else F.lit(0)
+        kept = kept.select("src", "tgt", F.struct(order, F.col("line_no")).alias("place"))
+        for side, lang in zip(("src", "tgt"), langs, strict=True):
+            files.write_lines(kept, f"{target}/{split}.{lang}", side, "place")
+    out = counted[0]
+    for more in counted[1:]:
+        out = out.unionByName(more)
+    config = {"min_tokens": 3, "max_tokens": 100, "max_ratio": 3.0} | limits
+    files.write_stats(out, config, f"{target}/preprocessing_stats.json")
+    return out

@@ -60,6 +60,9 @@ class Adam:
             v = self.v[k] = self.b2 * self.v.get(k, 0) + (1 - self.b2) * g * g
             model.params[k].value -= self.lr * (m / (1 - self.b1**self.t)) / (np.sqrt(v / (1 - self.b2**self.t)) + self.eps)
 
+    def facts(self) -> dict:
+        return {"lr": self.lr, "b1": self.b1, "b2": self.b2, "eps": self.eps, "t": self.t}
+
 
 def clip(grads: dict[str, np.ndarray], most: float = 1.0) -> dict[str, np.ndarray]:
     total = norms(grads)["total"]
@@ -143,36 +146,54 @@ def evaluate_loss(model, pairs: DataFrame, batch_size: int = 128) -> float:
     return pairs.select("src_ids", "tgt_ids").mapInArrow(run, "loss double").agg(F.avg("loss")).first()[0] or 0.0
 
 
-def train(model, pairs: DataFrame, valid: DataFrame, epochs: int = 10, rounds: int = 8, lr: float = 0.001, batch_size: int = 128, seed: int = 0, checkpoint=None) -> list[dict]:
-    """History rows; ``checkpoint(epoch, model, row, best)`` is called after each epoch."""
-    optimizer, history, best = Adam(lr), [], float("inf")
-    for epoch in range(1, epochs + 1):
+def train(model, pairs: DataFrame, valid: DataFrame, epochs: int = 10, rounds: int = 8, lr: float = 0.001, batch_size: int = 128, seed: int = 0, checkpoint=None, optimizer: Adam | None = None, done: int = 0, best: float = float("inf")) -> list[dict]:
+    """History rows; ``checkpoint(epoch, model, row, best, optimizer)`` is called after each epoch.
+
+    With the ``optimizer`` of a checkpoint, its epoch as ``done`` and its least loss as ``best``, training goes on from there.
+    """
+    optimizer, history = optimizer or Adam(lr), []
+    for epoch in range(done + 1, epochs + 1):
         loss, grad = train_epoch(model, pairs, optimizer, rounds, batch_size, seed, epoch)
-        row = {"epoch": epoch, "train_loss": loss, "val_loss": evaluate_loss(model, valid, batch_size), "learning_rate": lr} | {f"grad_norm_{k}": v for k, v in grad.items()}
+        row = {"epoch": epoch, "train_loss": loss, "val_loss": evaluate_loss(model, valid, batch_size), "learning_rate": optimizer.lr} | {f"grad_norm_{k}": v for k, v in grad.items()}
         history.append(row)
         if checkpoint:
-            checkpoint(epoch, model, row, row["val_loss"] < best)
+            checkpoint(epoch, model, row, row["val_loss"] < best, optimizer)
         best = min(best, row["val_loss"])
     return history
 
 
-def save_checkpoint(spark, model, path: str, **facts) -> None:
-    """Parameters as rows (name, shape, data) and facts as JSON."""
+def save_checkpoint(spark, model, path: str, optimizer: Adam | None = None, **facts) -> None:
+    """Parameters, and the optimizer's moments if given, as rows (kind, name, shape, data); facts as JSON."""
     from ...sources import files
 
-    rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in model.params.values().items()]
-    table = spark.createDataFrame(rows, "name string, shape array<int>, data array<double>")
-    files.save_model(spark, path, {"kind": model.kind, "config": model.config, **facts}, parameters=table)
+    kinds = {"value": model.params.values()} | ({"m": optimizer.m, "v": optimizer.v} if optimizer else {})
+    rows = [(kind, k, list(v.shape), v.ravel().tolist()) for kind, arrays in kinds.items() for k, v in arrays.items()]
+    table = spark.createDataFrame(rows, "kind string, name string, shape array<int>, data array<double>")
+    files.save_model(spark, path, {"kind": model.kind, "config": model.config, "optimizer": optimizer.facts() if optimizer else None, **facts}, parameters=table)
 
 
 def load_checkpoint(spark, path: str):
+    """The model and the facts saved with it."""
+    model, _, facts = load_training(spark, path)
+    return model, facts
+
+
+def load_training(spark, path: str):
+    """The model, its optimizer as it was (None if it was not saved), and the facts."""
     from ...sources import files
 
     facts, tables = files.load_model(spark, path)
-    model = models.build(facts.pop("kind"), **facts.pop("config"))
+    model, state = models.build(facts.pop("kind"), **facts.pop("config")), facts.pop("optimizer")
+    optimizer = Adam(**{k: v for k, v in state.items() if k != "t"}) if state else None
     for r in tables["parameters"].collect():
-        model.params[r["name"]].value = np.array(r["data"], float).reshape(r["shape"])
-    return model, facts
+        data = np.array(r["data"], float).reshape(r["shape"])
+        if r["kind"] == "value":
+            model.params[r["name"]].value = data
+        else:
+            getattr(optimizer, r["kind"])[r["name"]] = data
+    if optimizer:
+        optimizer.t = state["t"]
+    return model, optimizer, facts
 
 
 def translate(model, rows: DataFrame, max_len: int = 100, batch_size: int = 32, beam_width: int = 1) -> DataFrame:
@@ -203,6 +224,29 @@ def gradient_report(grads: DataFrame) -> DataFrame:
     return out.withColumn("share", F.col("sum_of_norms") / F.sum("sum_of_norms").over(Window.partitionBy(F.lit(0))))  # three rows at most
 
 
+def layer_norms(grads: DataFrame) -> DataFrame:
+    """(layer, norm, n_params) of (name, g) rows: a layer is a name without its last part, where it has several."""
+    layer = F.when(F.col("name").contains("."), F.regexp_replace("name", r"\.[^.]*$", "")).otherwise(F.col("name"))
+    square = F.aggregate("g", F.lit(0.0), lambda s, x: s + x * x)
+    return grads.groupBy(layer.alias("layer")).agg(F.sqrt(F.sum(square)).alias("norm"), F.count("*").alias("n_params"))
+
+
+def evaluate(spark, checkpoint: str, pairs: DataFrame, src_tokenizer, tgt_tokenizer, path: str | None = None, max_len: int = 100, beam_width: int = 1) -> float:
+    """BLEU of a saved model on ``pairs`` (line_no, src, tgt); the translations go to ``path`` if given."""
+    from ...sources import files
+
+    model, _ = load_checkpoint(spark, checkpoint)
+    coded = src_tokenizer.encode(pairs.select("line_no", F.col("src").alias("text")), add_bos=True, add_eos=True)
+    pred = translate(model, coded.select("line_no", F.col("ids").alias("src_ids")), max_len, beam_width=beam_width)
+    said = tgt_tokenizer.decode(pred.withColumnRenamed("pred_ids", "ids"), ["line_no"]).withColumnRenamed("text", "pred")
+    rows = pairs.select("line_no", "src", F.col("tgt").alias("ref")).join(said, "line_no").persist()
+    if path:
+        files.write_translations(rows, path)
+    out = B.bleu(rows).first()["bleu"]
+    rows.unpersist()
+    return out
+
+
 def best_epochs(history: DataFrame) -> DataFrame:
     """``history`` with whether each epoch improves on all before it."""
     before = Window.partitionBy(F.lit(0)).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)  # one row an epoch

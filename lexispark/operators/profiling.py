@@ -44,6 +44,13 @@ def split_means(lines: DataFrame, key: str = "lang") -> DataFrame:
     return lines.rollup(key).agg(F.avg(X.count_words(F.col("text"))).alias("mean_words"), F.count("*").alias("n"))
 
 
+def percent_longer(lines: DataFrame, first: str, second: str, key: str = "lang") -> DataFrame:
+    """One row: mean words of two groups, and by how many percent the second is longer; null if either has no row."""
+    mean = lambda group: F.avg(F.when(F.col(key) == group, X.count_words(F.col("text"))))
+    out = lines.agg(mean(first).alias("mean_first"), mean(second).alias("mean_second"))
+    return out.withColumn("percent_longer", F.when(F.col("mean_first") > 0, 100.0 * (F.col("mean_second") / F.col("mean_first") - 1)))
+
+
 def char_counts(lines: DataFrame, key: str = "lang") -> DataFrame:
     return lines.select(key, F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy(key, "ch").agg(F.count("*").alias("n"))
 

@@ -56,6 +56,17 @@ def _shapes(s, d):
     return out.groupBy("batch_id").agg(F.count("*").alias("n"), F.max(F.size("src_ids")).cast("long").alias("src_width"), F.max(F.size("tgt_ids")).cast("long").alias("tgt_width"), F.sum("src_len").alias("src_tokens"))
 
 
+def _minibatches(s, d):
+    """Full batches of 128 in order, as the data loader cuts them."""
+    out = G.batches(_encoded_pairs(s, d), 128)
+    return out.groupBy("batch_id").agg(F.count("*").alias("n"), F.max(F.size("src_ids")).cast("long").alias("src_width"), F.max(F.size("tgt_ids")).cast("long").alias("tgt_width"), F.min("line_no").alias("first"), F.sum("tgt_len").alias("tgt_tokens"))
+
+
+def _trained(s, d):
+    """The merges of the default vocabulary of 32,000 pieces; SQL cannot follow thousands of merges."""
+    return B.BPETokenizer().train(T.lines(s, d)).merge_table(s)
+
+
 def _shift(s, d):
     rows = _encoded_pairs(s, d)
     given, wanted = G.shifted(F.col("tgt_ids"))
@@ -107,12 +118,14 @@ QUERIES = {
     "word_oov_rate": _oov,
     "encode_truncate_pad": _padded,
     "batch_shapes": _shapes,
+    "minibatches": _minibatches,
     "teacher_forcing_shift": _shift,
     "shared_words": lambda s, d: V.tokens(T.lines(s, d)).filter("lang = 'en'").select("token").intersect(V.tokens(T.lines(s, d)).filter("lang = 'fr'").select("token")),
     "bpe_initial_symbols": lambda s, d: B.initial_symbols(T.lines(s, d)).select("word", F.array_join("symbols", " ").alias("symbols"), "freq"),
     "bpe_symbol_counts": lambda s, d: B.symbol_counts(B.initial_symbols(T.lines(s, d))),
     "bpe_pair_freq": lambda s, d: B.pair_counts(B.initial_symbols(T.lines(s, d))),
     "bpe_merges_k": lambda s, d: _learned(s, d).merge_table(s),
+    "bpe_train": _trained,
     "bpe_vocab": lambda s, d: _learned(s, d).vocabulary,
     "bpe_encode": _word_pieces,
     "bpe_decode": _roundtrip,
@@ -182,6 +195,7 @@ ORACLE_SQL = {
     "word_oov_rate": f"select lang, count(*) as n, count(*) filter (where idx = 1) as n_unk, round(100.0 * count(*) filter (where idx = 1) / count(*), 6) as oov_rate from ({_CODED}) group by lang",
     "encode_truncate_pad": f"select line_no, array_to_string(src_ids || list_resize([]::integer[], sw - len(src_ids), 0), ' ') as src, array_to_string(tgt_ids || list_resize([]::integer[], tw - len(tgt_ids), 0), ' ') as tgt, len(src_ids) as src_len, len(tgt_ids) as tgt_len from ({_BATCHED})",
     "batch_shapes": f"select cast(batch_id as bigint) as batch_id, count(*) as n, max(sw) as src_width, max(tw) as tgt_width, cast(sum(len(src_ids)) as bigint) as src_tokens from ({_BATCHED}) group by batch_id",
+    "minibatches": f"select cast((p - 1) // 128 as bigint) as batch_id, count(*) as n, max(len(src_ids)) as src_width, max(len(tgt_ids)) as tgt_width, min(line_no) as first, cast(sum(len(tgt_ids)) as bigint) as tgt_tokens from (select *, row_number() over (order by line_no) as p from ({_ENCODED})) group by 1",
     "teacher_forcing_shift": f"select line_no, array_to_string(ids[1:len(ids) - 1], ' ') as given, array_to_string(ids[2:], ' ') as wanted from ({_side('tgt')})",
     "shared_words": f"select token from ({T.TOKENS}) where lang = 'en' intersect select token from ({T.TOKENS}) where lang = 'fr'",
     "bpe_initial_symbols": f"select word, array_to_string(list_filter(string_split(word, ''), lambda c: c <> ''), ' ') || ' </w>' as symbols, freq from ({_WORDS})",

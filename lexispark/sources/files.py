@@ -16,8 +16,11 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(line_no, text): the stripped lines of text files, numbered through the files in the order given."""
     frames = []
     for i, path in enumerate(paths):
-        numbered = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()  # file order is the only order there is
-        frames.append(spark.createDataFrame(numbered, "text string, at long").select(F.lit(i).alias("file"), "at", X.strip(F.col("text")).alias("text")))
+        place = F.monotonically_increasing_id()  # the split of the file, and the line in it
+        rows = spark.read.text(path).select("value", F.shiftright(place, 33).alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"))
+        sizes = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row a split
+        base = F.create_map(*[F.lit(x) for p in sizes for x in (p, sum(n for q, n in sizes.items() if q < p))]) if sizes else F.create_map(F.lit(0).cast("long"), F.lit(0))
+        frames.append(rows.select(F.lit(i).alias("file"), (F.element_at(base, F.col("part")) + F.col("pos")).alias("at"), X.strip(F.col("value")).alias("text")))
     out = frames[0]
     for more in frames[1:]:
         out = out.unionByName(more)

@@ -97,3 +97,20 @@ def test_node_broadcast():
     a, b = Node(np.ones((2, 3))), Node(np.ones(3))
     (a + b).backward()
     assert a.grad.shape == (2, 3) and (b.grad == 2).all()
+
+
+def test_training_goes_on_from_a_checkpoint(spark, tmp_path):
+    rows = [(i, [2, 4 + i % 5, 5 + i % 3, 3], [2, 5 + i % 3, 4 + i % 5, 3]) for i in range(24)]
+    pairs = spark.createDataFrame(rows, "line_no long, src_ids array<int>, tgt_ids array<int>").coalesce(2).persist()
+    config = {"vocab_size": 10, "embedding_dim": 4, "hidden_dim": 4, "num_layers": 1, "dropout": 0.0}
+    whole = training.train(models.build("lstm", **config), pairs, pairs, 3, 2)
+    keep = lambda epoch, model, row, best, optimizer: training.save_checkpoint(spark, model, str(tmp_path / f"c{epoch}"), optimizer, epoch=epoch)
+    training.train(models.build("lstm", **config), pairs, pairs, 1, 2, checkpoint=keep)
+    model, optimizer, facts = training.load_training(spark, str(tmp_path / "c1"))
+    rest = training.train(model, pairs, pairs, 3, 2, optimizer=optimizer, done=facts["epoch"])
+    assert [r["epoch"] for r in rest] == [2, 3] and np.allclose([r["val_loss"] for r in rest], [r["val_loss"] for r in whole[1:]])
+
+
+def test_layer_norms(spark):
+    df = spark.createDataFrame([("encoder.cell.0.w", [3.0]), ("encoder.cell.0.b", [4.0]), ("bias", [2.0])], "name string, g array<double>")
+    assert {r["layer"]: (r["norm"], r["n_params"]) for r in training.layer_norms(df).collect()} == {"encoder.cell.0": (5.0, 2), "bias": (2.0, 1)}

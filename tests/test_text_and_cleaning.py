@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lexispark import cli
 from lexispark.functions import text as X
 from lexispark.operators import cleaning as C
 from lexispark.operators import profiling as P
@@ -91,3 +92,43 @@ def test_files_round_trip(spark, tmp_path):
     history = spark.createDataFrame([(1, 2.0, 3.0, 0.1, None, None, None)], files.HISTORY)
     files.write_history(history, str(tmp_path / "h"))
     assert files.read_history(spark, str(tmp_path / "h")).collect() == history.collect()
+
+
+def test_splits_are_cleaned_each_on_its_own(spark, tmp_path):
+    good = ["the first line here", "the first line here", "a b", "another <b>fine</b>  line", "123 !! 4"]
+    for split in ("train", "dev"):
+        for lang in ("en", "es"):
+            (tmp_path / f"{split}.{lang}").write_text("\n".join(good) + "\n")
+    for lang in ("en", "es"):
+        (tmp_path / f"test.{lang}").write_text("")
+    cli.main(["preprocess", "--input", str(tmp_path), "--output", str(tmp_path / "out")], spark)
+    stats = files.read_json(spark, str(tmp_path / "out" / "preprocessing_stats.json"))
+    assert {k: stats["train"][k] for k in ("original", "duplicates", "length_filtered", "punctuation_only", "html_cleaned", "final")} == {"original": 5, "duplicates": 1, "length_filtered": 1, "punctuation_only": 1, "html_cleaned": 1, "final": 2}
+    assert stats["dev"]["duplicates"] == 0 and stats["dev"]["final"] == 3 and stats["config"]["max_ratio"] == 3.0 and "test" not in stats
+    both = files.read_parallel(spark, str(tmp_path / "out" / "dev.en"), str(tmp_path / "out" / "dev.es")).orderBy("line_no").collect()
+    assert [(r["src"], r["tgt"]) for r in both] == [(x, x) for x in ("the first line here", "the first line here", "another fine line")]
+    assert sorted(r["text"] for r in files.read_lines(spark, str(tmp_path / "out" / "train.en")).collect()) == ["another fine line", "the first line here"]
+
+
+def test_a_pair_in_two_splits_counts_in_both(spark):
+    rows = spark.createDataFrame([(1, "a", "one two three", "uno dos tres"), (2, "b", "one two three", "uno dos tres"), (3, "b", "one two three", "uno dos tres")], "line_no long, split string, src string, tgt string")
+    assert C.clean(rows).count() == 2 and {r["split"]: r["final"] for r in C.accounting(rows).collect()} == {"a": 1, "b": 1}
+
+
+def test_lines_are_numbered_through_large_files(spark, tmp_path):
+    want = [f"line {i}" for i in range(5000)]
+    (tmp_path / "a.txt").write_text("\n".join(want[:4000]) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(want[4000:]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {r["line_no"]: r["text"] for r in files.read_lines(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == dict(enumerate(want))
+
+
+def test_percent_longer(spark):
+    df = spark.createDataFrame([("en", "a b"), ("en", "a b c d"), ("es", "a b c d e f")], "lang string, text string")
+    assert tuple(P.percent_longer(df, "en", "es").first()) == (3.0, 6.0, 100.0)
