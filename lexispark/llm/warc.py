@@ -58,6 +58,11 @@ def _escaped(url: Column) -> Column:
     return F.when(url.rlike(ILLEGAL), F.array_join(F.transform(F.split(url, ""), sign), "")).otherwise(url)
 
 
+def _key(page: str) -> list[Column]:
+    """A page_id as two columns that are never null."""
+    return [F.coalesce(page, F.lit(0)).alias("page"), F.col(page).isNull().alias("unknown")]
+
+
 def _header() -> Column:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     url = _escaped(F.coalesce("url", F.lit("about:blank")))
@@ -95,11 +100,11 @@ def write_archive(pages: DataFrame, path: str) -> None:
     least = -1
     for most, records_ in SEGMENTS:
         if longest is None and least < 0 or longest is not None and longest > least:  # an empty archive has its (empty) first folder
-            mine = o.filter((F.col("bytes") > least) & (F.col("bytes") <= most))
-            stored = rows.alias("r").join(mine, F.col("r.page_id").eqNullSafe(F.col("o.original")) & (F.col("r.digest") == F.col("o.digest"))).select("r.*", "o.copies")
-            if repeated:
-                alone, again = stored.filter("copies = 1"), stored.filter("copies > 1")
-                stored = alone.unionByName(again.dropDuplicates(["digest"]))
+            mine = owners.filter((F.col("bytes") > least) & (F.col("bytes") <= most)).select("digest", *_key("original"))
+            supplied = rows.select("digest", "payload", *_key("page_id"))
+            if repeated:  # one row of each page and payload, dealt as the join wants it
+                supplied = supplied.dropDuplicates(["digest", "page", "unknown"])
+            stored = supplied.join(mine, ["digest", "page", "unknown"], "left_semi")
             out = stored.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_)
             out.mode("append").text(f"{path}/payload")
         least = most
