@@ -101,7 +101,8 @@ def write_archive(pages: DataFrame, path: str) -> None:
     for most, records_ in SEGMENTS:
         if longest is None and least < 0 or longest is not None and longest > least:  # an empty archive has its (empty) first folder
             mine = owners.filter((F.col("bytes") > least) & (F.col("bytes") <= most)).select("digest", *_key("original"))
-            supplied = rows.select("digest", "payload", *_key("page_id"))
+            length = F.octet_length("payload")
+            supplied = rows.filter((length > least) & (length <= most)).select("digest", "payload", *_key("page_id"))
             if repeated:  # one row of each page and payload, dealt as the join wants it
                 supplied = supplied.dropDuplicates(["digest", "page", "unknown"])
             stored = supplied.join(mine, ["digest", "page", "unknown"], "left_semi")
