@@ -19,7 +19,9 @@ remaining ones, so no link between different texts is lost.  Shingles are compar
 Edge cases: A-Z are lower-cased; a text with one to four words has its whole sequence as its only
 shingle; a null text or one without words has an empty set, is linked with nothing and is its own
 component.  Rows that repeat a doc_id are rows of their own with the same component if their sets
-are linked.  A row with null doc_id joins its component but never names it.
+are linked.  A row with null doc_id joins its component but never names it.  A very long text is one
+block of its own, whole, and its signature grows with its set.  An empty table gives no rows.  Other
+columns are ignored, whatever their names; ``one_of_each`` passes them through.
 """
 
 from __future__ import annotations

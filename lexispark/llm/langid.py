@@ -8,7 +8,9 @@ table entries, one per byte, and the whole corpus is scored in one pass without
 
 Edge cases: a null text, an empty one and one without a letter get ``und`` and score 0.  Rows
 whose language is null are never learned from.  Without any row to learn from, all are ``und``.
-Equal code lengths go to the language that sorts first.  Columns beyond those named are ignored.
+Equal code lengths go to the language that sorts first.  Rows that repeat are predicted each on its
+own.  A very long text is one block of its own, whole.  An empty table gives no rows.  Columns beyond
+those named are ignored.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ Keys are summed before they are shuffled.  Only repeated chunks carry their byte
 in a sort-merge join of two tables, whose skewed keys adaptive execution splits.
 
 Edge cases: lines end at ``\\n``; a null or empty text has no lines and stays as it is.  A null
-doc_id sorts before all others; different texts of one doc_id go by line, then by a hash.  Rows that repeat doc_id and text are one occurrence, so they keep
-or lose the same lines.  Repeats of one line, or of fewer than ``LEAST_WORDS`` words, always stay, and
+doc_id sorts before all others; different texts of one doc_id go by line, then by a hash.  Rows that
+repeat doc_id and text are one occurrence, so they keep or lose the same lines.  A very long text is
+one block of its own, whole.  An empty table gives no rows.  Repeats of one line, or of fewer than ``LEAST_WORDS`` words, always stay, and
 so do lines without words at the ends of a repeat.  A text all of whose lines go becomes empty; the row
 remains.  Clashing extra columns pass through.
 """

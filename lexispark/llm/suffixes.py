@@ -17,7 +17,8 @@ the least hash; equal windows name it at the same place.  A run of windows with
 
 Edge cases: a null text is empty; texts under 100 bytes keep all bytes.  Earlier means smaller
 doc_id (null first), then, among rows of one doc_id with different texts, smaller hash of the text,
-then earlier start.  Rows that repeat doc_id and text are one document.  Other columns are ignored.
+then earlier start.  Rows that repeat doc_id and text are one document.  A very long text is one block
+of its own, whole.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ it stands for, so that a score is a rate of the whole table whatever its size.
 
 Edge cases: a null text counts as empty; an empty text gets the score of its (zero) features.
 Without usable labels, or with one label only, every score is 0.  Labels that contradict each other
-for a doc_id count as toxic.  Rows repeated in either table change nothing but their own row.
+for a doc_id count as toxic.  Rows repeated in either table change nothing but their own row; of
+different texts under one labelled doc_id the one with the least hash is learned from.  A score of
+exactly 0.5 counts as toxic.  A very long text is one block of its own, whole.  An empty table gives
+no rows.  Other columns are ignored, or passed through by ``rejected``.
 """
 
 from __future__ import annotations
@@ -179,7 +182,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> D
     # Each row stands for the rows of its label that the bound left out.
     per = {r["toxic"]: max(1.0, r["count"] / rows) for r in one.groupBy("toxic").count().collect()}
     ids = ids.withColumn("weight", F.when(F.col("toxic") == 1, per.get(1, 1.0)).otherwise(per.get(0, 1.0)))
-    sample = work.staged(docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
+    sample = work.staged(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "weight").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select("doc_id", "t.text", "toxic", "weight"), "toxic-sample")
     work.discard(staged)
     return sample
 
