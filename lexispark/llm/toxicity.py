@@ -152,6 +152,9 @@ def features(block: np.ndarray, at: np.ndarray, lexicon: Members, person: Member
     triple = np.zeros(len(block), bool)
     if len(block) > 2:
         triple[2:] = (lower[2:] == lower[1:-1]) & (lower[1:-1] == lower[:-2]) & _LETTER[block[2:]]
+        for k in range(2):  # a text's first two bytes never go on with the text before it
+            edge = at[:-1] + k
+            triple[edge[edge < len(block)]] = False
     out[:, 16] = K.per_row(triple, at) / size
     out[:, 17] = K.per_row(_LETTER[block], at) / per
     early = hit - first[row[hit]] < np.maximum(n[row[hit]] // 10, 1)
