@@ -20,7 +20,7 @@ Edge cases: A-Z are lower-cased; a text with one to four words has its whole seq
 shingle; a null text or one without words has an empty set, is linked with nothing and is its own
 component.  Rows that repeat a doc_id are rows of their own with the same component if their sets
 are linked.  A row with null doc_id joins its component but never names it.  A very long text is one
-block of its own, whole, and its signature grows with its set.  An empty table gives no rows.  Other
+block of its own, whole, and its signature grows with its set up to 8 KB.  An empty table gives no rows.  Other
 columns are ignored, whatever their names; ``one_of_each`` passes them through.
 """
 
@@ -45,6 +45,10 @@ FREQUENT = 1 << 20
 #: Rows of one tile side, and members compared with one leader in one task.
 TILE = 4096
 MEMBERS = 256
+#: Bits of the widest signature: a class that meets many families is copied into a tile of each.
+WIDEST = 1 << 16
+#: Pairs that a task remembers, so as not to put them out again for another leader.
+REMEMBERED = 1 << 18
 #: Pairs taken for each two components of a tile before the rest is looked at.
 FIRST_PAIRS = 4
 
@@ -101,9 +105,9 @@ class Sets:
         return K.mix(out + self.n.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)).view(np.int64)
 
     def signature(self, i: int) -> bytes:
-        """A bitmap of a power of two bits, at least four times as many as the set has members."""
+        """A bitmap of a power of two bits, at least four times as many as the set has members but at most ``WIDEST``."""
         own = self.hashes[self.at[i] : self.at[i + 1]]
-        wide = max(64, 4 << (len(own) - 1).bit_length())
+        wide = min(max(64, 4 << (len(own) - 1).bit_length()), WIDEST)
         bits = np.zeros(wide, bool)
         bits[(own >> np.uint64(20)).astype(np.int64) & (wide - 1)] = True
         return np.packbits(bits, bitorder="little").tobytes()
@@ -343,19 +347,17 @@ def survivors(n: np.ndarray, sigs: list[bytes], label: np.ndarray, left: np.ndar
 
 
 def _tiles(cap: int):
-    """Rows ordered by (leader, i, j): puts out pairs of different labels that may be linked."""
+    """Rows ordered by (leader, i, j): puts out pairs of different labels that may be linked; most of those that share several leaders once."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    met: set[tuple[int, int]] = set()
 
     def one(rows: list[tuple]):
-        k, n, label, part, sig, leaders, _, i_, j_ = zip(*rows, strict=True)
-        leader, i, j = rows[0][6], i_[0], j_[0]
+        k, n, label, part, sig, i_, j_ = zip(*rows, strict=True)
+        i, j = i_[0], j_[0]
         k, n, label, part = np.array(k), np.array(n, np.int64), np.array(label), np.array(part)
         if (label == label[0]).all():
             return None
         found = survivors(n, list(sig), label, np.flatnonzero(part == i), None if i == j else np.flatnonzero(part == j))
-        if len(found):  # a pair that shares several leaders is put out with the least of them only
-            sets = {r: set(leaders[r]) for r in np.unique(found[:, :2]).tolist()}
-            found = found[[min(sets[a] & sets[b]) == leader for a, b in found[:, :2].tolist()]]
         if cap and len(found):  # the likeliest few for each two labels
             two = np.sort(label[found[:, :2]], 1)
             order = np.lexsort((found[:, 1], found[:, 0], -found[:, 2], two[:, 1], two[:, 0]))
@@ -364,19 +366,22 @@ def _tiles(cap: int):
             new[1:] = (two[1:] != two[:-1]).any(1)
             start = np.maximum.accumulate(np.where(new, np.arange(len(found)), 0))
             found = found[np.arange(len(found)) - start < cap]
-        if not len(found):
-            return None
-        return K.record(kind, np.minimum(k[found[:, 0]], k[found[:, 1]]), np.maximum(k[found[:, 0]], k[found[:, 1]]))
+        ends = np.sort(k[found[:, :2]], 1)
+        new = [pair for pair in map(tuple, ends.tolist()) if pair not in met]
+        if len(met) + len(new) > REMEMBERED:
+            met.clear()
+        met.update(new[:REMEMBERED])
+        return K.record(kind, *[list(c) for c in zip(*new, strict=True)]) if new else None
 
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            for leader, i, j, *rest in zip(*[K.ids_of(batch, c).to_pylist() for c in ("leader", "i", "j", "k", "n", "label", "part", "sig", "leaders")], strict=True):
+            for leader, i, j, *rest in zip(*[K.ids_of(batch, c).to_pylist() for c in ("leader", "i", "j", "k", "n", "label", "part", "sig")], strict=True):
                 if (leader, i, j) != key:
                     if len(rows) > 1 and (got := one(rows)) is not None:
                         yield got
                     key, rows = (leader, i, j), []
-                rows.append((*rest, leader, i, j))
+                rows.append((*rest, i, j))
         if len(rows) > 1 and (got := one(rows)) is not None:
             yield got
 
@@ -394,13 +399,13 @@ def residue(members: DataFrame, labels: DataFrame, sigs: DataFrame, cap: int) ->
     mixed = m.groupBy("leader").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
     mixed = work.staged(mixed.select("leader", F.ceil(F.col("size") / TILE).cast("int").alias("parts")), "tile-families")
     x, y = m.alias("x"), mixed.alias("y")
-    rows = x.join(y, F.col("x.leader") == F.col("y.leader")).groupBy("x.k").agg(F.min("x.n").alias("n"), F.min("x.label").alias("label"), F.collect_list(F.struct("y.leader", "y.parts")).alias("own"))  # no more than a prefix is long
-    rows = rows.select("k", "n", "label", F.col("own.leader").alias("leaders"), F.explode("own").alias("f")).select("k", "n", "label", "leaders", "f.leader", "f.parts", F.pmod(F.xxhash64("k", F.lit(3)), F.col("f.parts")).cast("int").alias("part"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("leader", "i", "j", "k", "n", "label", "part", "leaders")
+    part = F.pmod(F.xxhash64("x.k", F.lit(3)), F.col("y.parts")).cast("int").alias("part")
+    rows = x.join(y, F.col("x.leader") == F.col("y.leader")).select("x.leader", "x.k", "x.n", "x.label", "y.parts", part)
     rows = rows.join(sigs.withColumnRenamed("k", "sig_k"), F.col("k") == F.col("sig_k")).drop("sig_k")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("leader", "i", "j", "k", "n", "label", "part", "sig")
     dealt = rows.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    out = work.staged(dealt.mapInArrow(_tiles(cap), "a long, b long"), "tile-pairs")
+    out = work.staged(dealt.mapInArrow(_tiles(cap), "a long, b long").distinct(), "tile-pairs")
     work.discard(m, mixed)
     return out
 

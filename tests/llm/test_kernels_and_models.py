@@ -173,7 +173,9 @@ def test_shingle_sets(texts):
             assert (keys[i] == keys[j]) == (want[i] == want[j])
 
 
-def test_bitmaps_never_lose_a_link():
+@pytest.mark.parametrize("widest", [64, 256, jaccard.WIDEST])
+def test_bitmaps_never_lose_a_link(widest, monkeypatch):
+    monkeypatch.setattr(jaccard, "WIDEST", widest)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(80)]
     texts = []

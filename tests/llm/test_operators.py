@@ -226,9 +226,10 @@ def test_jaccard(docs, empty):
     assert jaccard.components(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_near_the_threshold(spark, seed):
-    """Chains of edits around 75 %, frequent passages and hot groups: nothing is lost and nothing invented."""
+@pytest.mark.parametrize(("seed", "tile"), [(1, jaccard.TILE), (2, 7)])
+def test_jaccard_near_the_threshold(spark, seed, tile, monkeypatch):
+    """Chains of edits around 75 %, frequent passages and hot groups, in one tile or many: nothing is lost and nothing invented."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
     rng = random.Random(seed)
     w = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     passage, rows = w(30), []
