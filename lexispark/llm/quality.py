@@ -1,36 +1,41 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted target and raw corpus.
 
 The byte four-grams of every text are hashed into a fixed number of buckets.  Two multinomials are
-counted over the buckets: the raw corpus (every document) and the trusted target (a bounded sample
-of documents labelled as good).  A document's score is its mean log ratio per n-gram, and it is
-kept where the score reaches a threshold that is fitted on the labelled sample once and then
-compared with every document; nothing is drawn at random.  Plain counts over the words
-``[^\\x20\\x09-\\x0D]+`` come first: documents that fail them are never kept.
+counted over the buckets: the raw corpus (every document) and the trusted target (every document
+labelled as good).  A document's score is its mean log ratio per n-gram, and it is kept where the
+score reaches a threshold that is fitted on the scores of all labelled documents once and then
+compared with every document; nothing is drawn at random, and nothing comes from a sample.  Plain
+counts over the words ``[^\\x20\\x09-\\x0D]+`` come first: documents that fail them are never kept.
 
 Edge cases: a null text counts as empty; empty texts have no words and fail the base rules.  Without
-labels the threshold is minus infinity, so that the base rules alone decide.  Rows that repeat a
-doc_id are judged each on its own text; of those in the sample the one with the least hash of the text
-counts for the threshold.  A score equal to the threshold is kept.  A very long text is one block of
-its own, whole.  An empty table gives no rows.  Other columns are ignored, whatever their names.
+good labels the threshold is minus infinity, so that the base rules alone decide.  A doc_id with several
+labels is good where each of them is.  Rows that repeat a doc_id are each counted and judged on their own
+text, with the label of the doc_id.  A score equal to the threshold is kept; equal texts score the same
+wherever they lie.  A very long text is one block of its own, whole.  An empty table gives no rows.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import tallies, work
 
-#: Buckets of the hashed n-grams; n; labelled documents in the trusted and the poor sample, each.
+#: Buckets of the hashed n-grams; n; log ratios are kept in whole parts of this size, so that their sums are exact.
 BUCKETS = 1 << 18
 GRAM = 4
-SAMPLE = 20_000
+FINE = 1 << 24
+#: Bits of the hashed set of good ids that spares other texts the shuffle; the join after it is exact.
+MARK_BITS = 1 << 26
+#: Different scores that one task puts in order, more or less.
+STRETCH = 100_000
 #: N-grams of neutral evidence added to each document, so that a short one is not judged on a few.
 PRIOR = 40
-#: Share of the trusted sample that the threshold must keep.
+#: Share of the trusted documents that the threshold must keep.
 KEEP_TRUSTED = 0.998
 
 MIN_WORDS = 50
@@ -116,65 +121,118 @@ class Model:
     """Log ratio of each bucket, and the threshold."""
 
     def __init__(self, ratio: np.ndarray, threshold: float = -np.inf):
-        self.ratio, self.threshold = ratio.astype(np.float32), threshold
+        self.ratio, self.threshold = np.rint(ratio * FINE).astype(np.int32), threshold
 
     def scores(self, block: np.ndarray, at: np.ndarray) -> np.ndarray:
         code, first = gram_buckets(block, at)
-        return K.per_row(self.ratio[code].astype(np.float64), first) / (np.diff(first) + PRIOR)
+        return K.per_row(self.ratio[code], first) / FINE / (np.diff(first) + PRIOR)
 
 
-def labelled_sample(labels: DataFrame, docs_per_class: int = SAMPLE) -> DataFrame:
-    """(doc_id, good) of at most ``docs_per_class`` rows of each class, by the smallest hash of the id."""
-    one = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
-    dice = F.xxhash64("doc_id", F.lit(29))
-    return one.filter("good").orderBy(dice).limit(docs_per_class).union(one.filter("not good").orderBy(dice).limit(docs_per_class))
+def marks(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of every labelled doc_id."""
+    return labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    spark = docs.sparkSession
-    sample = work.staged(labelled_sample(labels), "quality-sample")  # at most 2 * SAMPLE ids: a proven bound
-    marked = docs.join(F.broadcast(sample), "doc_id", "left")
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text) of the rows of ``docs`` whose doc_id is in ``ids``.
+
+    Most rows that are not wanted are left out by a hashed set of fixed size before the shuffle; the join decides.
+    """
+    place = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(MARK_BITS))
+    wide = 1 << 15  # bits of one bitmap of ``bitmap_construct_agg``
+    parts = ids.select(place.alias("at")).groupBy(F.floor(F.col("at") / wide).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % wide).alias("bits"))
+    bits = np.zeros((MARK_BITS // wide, wide // 8), np.uint8)
+    for row in parts.collect():  # MARK_BITS at most
+        bits[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+
+    def maybe(batches):
+        for batch in batches:
+            at = K.ids_of(batch, "at").to_numpy()
+            keep = (shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(keep.astype(bool)))
+
+    few = docs.filter("doc_id is not null").select("doc_id", "text", place.alias("at")).mapInArrow(maybe, "doc_id long, text string")
+    return few.join(ids.select("doc_id").hint("merge"), "doc_id").select("text")  # the ids grow with the corpus
+
+
+def gram_totals(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in all ``texts``."""
 
     def count(batches):
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums = np.zeros((1, BUCKETS), np.int64)
         for batch in batches:
-            data, offsets = K.text_of(batch, "text")
-            good = np.array(K.ids_of(batch, "good").to_pylist(), object) == True  # noqa: E712
-            for a, b, block, at in K.blocks(data, offsets):
-                code, first = gram_buckets(block, at)
-                sums[0] += np.bincount(code, minlength=BUCKETS)
-                if good[a:b].any():
-                    sums[1] += np.bincount(code[np.repeat(good[a:b], np.diff(first))], minlength=BUCKETS)
+            for _, _, block, at in K.blocks(*K.text_of(batch, "text")):
+                sums[0] += np.bincount(gram_buckets(block, at)[0], minlength=BUCKETS)
         yield from tallies.chunks(sums)
 
-    raw, target = tallies.total(marked.select("text", "good").mapInArrow(count, tallies.ROW), 2, BUCKETS)
-    if not target.sum():
-        return Model(np.zeros(BUCKETS))
-    # The raw share of a bucket is the prior of its target share: buckets never seen in the target weigh little.
-    p = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
-    smooth = 0.02 * target.sum()
-    q = (target + smooth * p) / (target.sum() + smooth)
-    model = Model(np.log(q / p))
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS floats
-
-    def score(batches):
-        kind = pa.schema([("good", pa.bool_()), ("score", pa.float64()), ("failed", pa.bool_())])
-        for batch in batches:
-            data, offsets = K.text_of(batch, "text")
-            found = [(shared.value.scores(block, at), base_failed(base_counts(block, at))) for _, _, block, at in K.blocks(data, offsets)]
-            if found:
-                yield K.record(kind, K.ids_of(batch, "good"), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-
-    once = docs.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t"))
-    judged = once.select("t.text", "good").mapInArrow(score, "good boolean, score double, failed boolean")
-    judged = judged.filter("not failed").toPandas()  # three columns of the bounded sample, a row for each of its ids; ``threshold`` sorts them
-    model.threshold = threshold(judged["score"].to_numpy(), judged["good"].to_numpy(bool))
-    work.discard(sample)
+    return tallies.total(texts.select("text").mapInArrow(count, tallies.ROW), 1, BUCKETS)[0]
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    model, rows = fitted(docs, labels)
+    work.discard(rows)
     return model
 
 
+def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of all of ``docs`` and ``labels``, and the staged rows of ``judge`` before there was a threshold."""
+    known = work.staged(marks(labels), "quality-marks")
+    raw, target = gram_totals(docs), gram_totals(texts_of(docs, known.filter("good")))
+    model = Model(np.zeros(BUCKETS))
+    if target.sum():
+        # The raw share of a bucket is the prior of its target share: buckets never seen in the target weigh little.
+        p = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
+        smooth = 0.02 * target.sum()
+        q = (target + smooth * p) / (target.sum() + smooth)
+        model = Model(np.log(q / p))
+    rows = work.staged(judge(docs, model), "quality-rows")  # a few numbers a document
+    judged = rows.filter("not base_failed").select("doc_id", "score").join(known.hint("merge"), "doc_id")
+    model.threshold = fit(judged.select("score", "good"))
+    work.discard(known)
+    return model, rows
+
+
+def fit(judged: DataFrame) -> float:
+    """``threshold`` of all rows (score, good) of a table, without a task or the driver seeing them all.
+
+    Equal scores become one row with their counts; stretches of scores are summed up each on its own and
+    shifted by the counts of those before.
+    """
+    scores = work.staged(judged.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("poor")), "quality-scores")
+    n, good, poor = scores.agg(F.count("*"), F.sum("good"), F.sum("poor")).first()
+    if not good:
+        work.discard(scores)
+        return -np.inf
+    runs = work.staged(scores.repartitionByRange(work.parts_for(n, STRETCH, 1), "score").withColumn("stretch", F.spark_partition_id()), "quality-stretches")
+    before = Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row a stretch
+    sizes = runs.groupBy("stretch").agg(F.sum("good").alias("g"), F.sum("poor").alias("p"))
+    sizes = F.broadcast(sizes.select("stretch", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("g", "p")]))
+    up = Window.partitionBy("stretch").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    runs_up = runs.join(sizes, "stretch").select("score", (F.sum("good").over(up) + F.col("g")).alias("lost"), (F.sum("poor").over(up) + F.col("p")).alias("caught"))
+
+    def least(where) -> float | None:
+        return runs_up.filter(where).agg(F.min("score")).first()[0]
+
+    if not poor:
+        place = (good - 1) * (1 - KEEP_TRUSTED)
+        ends = [least(F.col("lost") > min(int(place) + j, good - 1)) for j in (0, 1)]
+        cut = float(np.quantile(ends, place - int(place))) - 1.0
+    else:
+        lost = F.col("lost") / good
+        gain = F.struct((F.col("caught") / poor - lost).alias("gain"), (-F.col("score")).alias("low"))
+        best = runs_up.filter(lost <= 1 - KEEP_TRUSTED).agg(F.max(gain)).first()[0]
+        if best is None:
+            cut = least(F.lit(True))
+        else:
+            above = least(F.col("score") > -best["low"])
+            cut = -best["low"] if above is None else (above - best["low"]) / 2
+    work.discard(scores, runs)
+    return float(cut)
+
+
 def threshold(score: np.ndarray, good: np.ndarray) -> float:
-    """The cut with the best balanced accuracy among those that keep ``KEEP_TRUSTED`` of the trusted sample."""
+    """The cut with the best balanced accuracy among those that keep ``KEEP_TRUSTED`` of the trusted rows; ``fit`` finds it over a table."""
     if not good.any():
         return -np.inf
     if good.all():
@@ -219,4 +277,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = work.columns(work.table(spark, sf_dir, "documents"), doc_id="long", text="string")
     labels = work.columns(work.table(spark, sf_dir, "labels"), doc_id="long", quality="int")
     work.short_batches(spark)
-    return judge(docs, learn(docs, labels))
+    model, rows = fitted(docs, labels)
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= float(model.threshold)))

@@ -227,3 +227,57 @@ def test_quality_verdicts_by_hand(spark):
     want = sorted((i is None, i or 0, round(points(t), 4), failed(t), not failed(t) and points(t) >= cut) for i, t in rows)
     assert [(g[:2], g[3:]) for g in got] == [(w[:2], w[3:]) for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-4)
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Over 20 000 rows of each label, some doc_ids twice; far too few bits to tell good ids from others before the join."""
+    monkeypatch.setattr(quality, "MARK_BITS", 1 << 15, raising=False)
+    rng = np.random.default_rng(3)
+    ids = np.concatenate([np.arange(47_000), np.arange(300)])
+    known, good = ids < 44_000, ids % 2 == 0
+    shift = np.where(good, 0, 1)[:, None]
+    data = np.full((len(ids), 119), ord(" "), np.uint8)
+    data[:, ::2] = ord("a") + shift + rng.integers(0, 20, (len(ids), 60))
+    docs = spark.createDataFrame([(int(i), d.tobytes().decode()) for i, d in zip(ids, data, strict=True)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(44_000)], "doc_id long, quality int")
+    model = quality.learn(docs, labels)
+
+    wide = data.astype(np.uint32)
+    code = (((wide[:, :-3] << 24 | wide[:, 1:-2] << 16 | wide[:, 2:-1] << 8 | wide[:, 3:]) * np.uint32(0x9E3779B1)) >> 14).astype(np.int64)
+    raw, target = np.bincount(code.ravel(), minlength=2**18), np.bincount(code[known & good].ravel(), minlength=2**18)
+    p = (raw + 0.5) / (raw.sum() + 0.5 * 2**18)
+    score = np.log((target + 0.02 * target.sum() * p) / (1.02 * target.sum()) / p)[code].sum(1) / (116 + 40)
+    got = sorted((r["doc_id"], r["score"]) for r in quality.judge(docs, model).filter("not base_failed").collect())
+    assert len(got) == len(ids)
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(zip(ids.tolist(), score.tolist(), strict=True))], abs=1e-6)
+    order = np.argsort(score[known])
+    s, g = score[known][order], good[known][order]
+    lost, caught = np.cumsum(g) / g.sum(), np.cumsum(~g) / (~g).sum()
+    k = np.argmax(np.where(lost <= 1 - quality.KEEP_TRUSTED, caught - lost, -1))
+    assert 0 < np.cumsum(g)[k] and model.threshold == pytest.approx((s[k] + s[k + 1]) / 2, abs=1e-7)
+
+
+def test_quality_threshold_over_a_table(spark, monkeypatch):
+    monkeypatch.setattr(quality, "STRETCH", 40)
+    rng = np.random.default_rng(4)
+    score, good = np.round(rng.normal(0, 1, 3000), 2), rng.random(3000) < 0.8
+    score[good] += 2.5
+    for s, g in [(score, good), (score, ~good), (score[good], good[good]), (score[~good], good[~good]), (score * 0 + 1.5, good), (score[:0], good[:0])]:
+        judged = spark.createDataFrame(list(zip(s.tolist(), g.tolist(), strict=True)), "score double, good boolean")
+        assert quality.fit(judged) == pytest.approx(quality.threshold(s, g), abs=1e-12)
+
+
+def test_quality_query_gives_the_verdicts_of_learn_and_judge(spark, tmp_path):
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice("abcdefgh" if i % 3 else "uvwxyz") * 2 for _ in range(rng.choice([10, 80])))) for i in range(150)] + [(7, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 150, 2)], "doc_id long, quality int")
+    for name, marked in (("all", labels), ("none", labels.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marked.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out, want = quality.query(spark, f"{tmp_path}/{name}"), quality.judge(docs, quality.learn(docs, marked))
+        assert out.dtypes == want.dtypes
+        key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_words"])
+        got = sorted(out.collect(), key=key)
+        assert got == sorted(want.collect(), key=key) and len(got) == len(rows)
+        assert any(r["kept"] for r in got) and any(not r["kept"] and not r["base_failed"] for r in got) == (name == "all")
