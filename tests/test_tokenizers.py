@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexispark import staging
 from lexispark.operators import batching as G
 from lexispark.operators import bpe as B
+from lexispark.operators import merges
 from lexispark.operators import vocabulary as V
 
 
@@ -168,3 +169,27 @@ def test_byte_pairs_of_a_full_vocabulary(spark):
     both = B.parallel_examples(spark.createDataFrame([(1, "abc ab", "b"), (2, "", "a")], "line_no long, src string, tgt string"), t)
     rows = {r["line_no"]: r for r in both.collect()}
     assert "".join(rows[1]["src_pieces"]) == "abc</w>ab</w>" and rows[1]["ratio"] == len(rows[1]["tgt_pieces"]) / len(rows[1]["src_pieces"]) and rows[2]["ratio"] is None
+
+
+def test_merges_learned_over_tasks_equal_the_plain_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    syllables = ["".join(rng.choice("abé<") for _ in range(rng.randrange(1, 4))) for _ in range(12)] + ["aaa", "</w>", "😀"]
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(12)) for _ in range(150)]
+    table = {(*w, B.END): n for w, n in Counter(w for x in texts for w in x.split()).items()}
+    monkeypatch.setattr(merges, "WORDS", 100)  # four tasks
+    for forward in (3, 48):
+        monkeypatch.setattr(merges, "FORWARD", forward)
+        t = B.BPETokenizer(lowercase=False, min_freq=1).train(lines(spark, texts), 700)
+        assert t.merges == B.learn_merges(table, 700, 1) and len(t.merges) > 300
+
+
+def test_no_word_is_left_out_of_learning(spark, monkeypatch):
+    # A bound on the words that visited the driver left the rare ones out.
+    monkeypatch.setattr(B, "MAX_WORDS", 2, raising=False)
+    t = B.BPETokenizer().train(lines(spark, ["aa aa bb bb xyq xyr xys xyt xyu"]), 1)
+    assert t.merges == [("x", "y")] and {"q", "u"} <= {r["token"] for r in t.vocabulary.collect()}
+
+
+def test_learning_from_nothing(spark):
+    t = B.BPETokenizer().train(lines(spark, ["", " "]), 3)
+    assert t.merges == [] and t.vocabulary.count() == 4
