@@ -198,16 +198,21 @@ def load_training(spark, path: str):
 
 def translate(model, rows: DataFrame, max_len: int = 100, batch_size: int = 32, beam_width: int = 1) -> DataFrame:
     """``rows`` (line_no, src_ids) with ``pred_ids``: greedy, or beam search for a width above 1."""
-    kind, config, weights = model.kind, model.config, rows.sparkSession.sparkContext.broadcast(dumped(model))
+    context = rows.sparkSession.sparkContext
+    kind, config, weights = model.kind, model.config | {"vocab_size": 1}, context.broadcast(model.params.values())
 
     def run(batches):
-        own = loaded(models.build(kind, **config), weights.value)
+        own = models.build(kind, **config)  # takes the size of the weights that it is given
+        for name, value in weights.value.items():
+            own.params[name].value = value
+        likeliest = models.likeliest_of(own)
         for part in _batches(batches, batch_size):
             src = pad([x[1] for x in part])
-            pred = models.greedy(own, src, max_len) if beam_width == 1 else models.beam(own, src, max_len, beam_width)
+            pred = models.greedy(own, src, max_len, likeliest) if beam_width == 1 else models.beam(own, src, max_len, beam_width)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array(pred, pa.list_(pa.int32()))], ["line_no", "pred_ids"])
 
-    return rows.select("line_no", "src_ids").mapInArrow(run, "line_no long, pred_ids array<int>")
+    # Rows are few bytes and much work: dealt out by number, or they would be put together by size.
+    return rows.select("line_no", "src_ids").repartition(2 * context.defaultParallelism).mapInArrow(run, "line_no long, pred_ids array<int>")
 
 
 def score(translated: DataFrame, decode, refs: DataFrame) -> DataFrame:

@@ -114,3 +114,26 @@ def test_training_goes_on_from_a_checkpoint(spark, tmp_path):
 def test_layer_norms(spark):
     df = spark.createDataFrame([("encoder.cell.0.w", [3.0]), ("encoder.cell.0.b", [4.0]), ("bias", [2.0])], "name string, g array<double>")
     assert {r["layer"]: (r["norm"], r["n_params"]) for r in training.layer_norms(df).collect()} == {"encoder.cell.0": (5.0, 2), "bias": (2.0, 1)}
+
+
+@pytest.mark.parametrize("kind, scale", [("attention", 1), ("rnn", 1), ("lstm", 6), ("attention", 25)])
+def test_greedy_from_short_lists_equals_all_logits(kind, scale):
+    more = {"attention_dim": 8} if kind == "attention" else {}
+    model = models.build(kind, vocab_size=3000, embedding_dim=8, hidden_dim=8, num_layers=1, dropout=0.0, **more)
+    for node in model.params.values():
+        node *= scale
+    rng = np.random.default_rng(3)
+    src = np.array([[*rng.integers(4, 3000, n), *[0] * (12 - n)] for n in rng.integers(1, 13, 24)])
+    likeliest = models.likeliest_of(model)
+    got = models.greedy(model, src, 30, likeliest)
+    state, memory = model.encode(src)
+    token, want, done = np.full(len(src), 2), [[] for _ in src], np.zeros(len(src), bool)
+    for _ in range(30):
+        score, state = model.next(token, state, memory)
+        token = score.argmax(1)
+        done |= token == 3
+        for i in np.flatnonzero(~done):
+            want[i].append(int(token[i]))
+    assert got == want
+    if scale == 1:
+        assert likeliest.far < 0.1 * likeliest.near  # before, every step of every row met the whole vocabulary
